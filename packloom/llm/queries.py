@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm import chat, licenses, quality, sharding, urls
+from packloom.llm import chat, decontaminate, jaccard, licenses, mixing, quality, sharding, urls
 
 QUERIES, SQL = {}, {}
 
@@ -71,3 +71,27 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality.quality_rules(docs).drop("text", "lang")
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
+@query
+def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No source more than twice, every document at least once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("tokens"))
+    return mixing.mix(docs, max_repeats=2.0, tokens_col="tokens")
+
+
+SQL["op5_temperature_mix"] = mixing.ORACLE
+
+
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item against every document."""
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+SQL["op7_decontamination"] = decontaminate.ORACLE
