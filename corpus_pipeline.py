@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from packloom.llm import decontaminate, jaccard, mixing, quality, sharding
+from packloom.llm.shared import shared_dir
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,13 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str, work: str | None = None) -> DataFrame:
     """All stages over ``documents``; each is written under ``work``, or else the session's checkpoint folder, and read again."""
-    if work is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-        if not shared:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="spark-pipeline-")
-        work = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    work = work or f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         path = f"{work}/{i}"

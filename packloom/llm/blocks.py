@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from packloom.llm.textvec import U
 
 ASK = "bucket int, block int, n int, keys binary, counts binary"
-ANSWER = "block int, bucket int, counts binary"
+ANSWER = "block int, bucket int, counts binary, apart binary, n_distinct long, total long"
+#: Block number of the rows that sum up a bucket.
+SUMMARY = -1
 
 
 def plan_blocks(docs: DataFrame, text_col: str, block_bytes: int = 4 << 20) -> tuple[int, int]:
@@ -56,42 +58,82 @@ def widen(b: bytes, width: int) -> np.ndarray:
     return full.view("<u8").reshape(-1)
 
 
-def ask_rows(block: int, keys: np.ndarray, counts: np.ndarray, bits: int, width: int) -> pa.Table:
-    """One row per bucket that the block's keys (ascending, distinct) fall into; counts: one or more columns of each key."""
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest type that holds them all, told by the first byte."""
+    most = int(counts.max()) if len(counts) else 0
+    code = next(c for c in (1, 2, 4, 8) if most < 1 << (8 * c) or c == 8)
+    return bytes([code]) + counts.astype(f"<u{code}").tobytes()
+
+
+def read_counts(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+
+
+def ask_rows(block: int, keys: np.ndarray, counts: np.ndarray, bits: int, width: int, base: int = 0) -> pa.Table:
+    """One row per bucket, numbered from ``base``, that the block's keys (ascending, distinct) fall into."""
     short, ranges = pack_keys(keys, bits, width)
-    counts = counts.reshape(len(keys), -1).astype(np.int32)
-    rows = [(i, block, int(b - a), narrow(short[a:b], width), counts[a:b].tobytes()) for i, (a, b) in enumerate(ranges) if b > a]
+    rows = [(base + i, block, int(b - a), narrow(short[a:b], width), pack_counts(counts[a:b])) for i, (a, b) in enumerate(ranges) if b > a]
     cols = list(zip(*rows, strict=True)) or [[]] * 5
     types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "block", "n", "keys", "counts"])
 
 
-def answers(asked: DataFrame, columns: int, width: int) -> DataFrame:
-    """Sums of each key's counts over all blocks, sent to every block that asked, in the order it asked."""
+def answers(asked: DataFrame, width: int, most: int | None = None, apart_from: int | None = None) -> DataFrame:
+    """Sums of each key's counts over all blocks, sent to every block that asked, in the order it asked.
+
+    ``most`` stops sums there.  Blocks numbered ``apart_from`` or higher also get the sums
+    over such blocks alone.  One more row per bucket, of block ``SUMMARY``, has its number
+    of distinct keys with a count and the sum of all counts.
+    """
 
     def add_up(rows: pa.Table) -> pa.Table:
+        blocks = rows["block"].to_pylist()
         keys = np.concatenate([widen(b, width) for b in rows["keys"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(b, np.int32) for b in rows["counts"].to_pylist()]).reshape(-1, columns)
+        counts = np.concatenate([read_counts(b) for b in rows["counts"].to_pylist()])
         order = np.argsort(keys, kind="stable")
         at = keys[order]
         fresh = np.ones(len(at), bool)
         fresh[1:] = at[1:] != at[:-1]
-        total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(fresh), axis=0)
-        out = np.empty((len(keys), columns), np.int32)
-        out[order] = np.minimum(total, np.iinfo(np.int32).max)[np.cumsum(fresh) - 1]
-        ends = np.cumsum(rows["n"].to_numpy())
-        parts = [out[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        return pa.table([rows["block"].cast(pa.int32()), rows["bucket"].cast(pa.int32()), pa.array(parts, pa.binary())], names=["block", "bucket", "counts"])
+        starts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+
+        def summed(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            total = np.add.reduceat(weights[order], starts)
+            out = np.empty(len(keys), np.int64)
+            out[order] = total[group] if most is None else np.minimum(total, most)[group]
+            return total, out
+
+        total, out = summed(counts)
+        sizes = rows["n"].to_numpy()
+        ends = np.cumsum(sizes)
+        spans = list(zip(ends - sizes, ends, strict=True))
+        apart: list[bytes | None] = [None] * len(blocks)
+        if apart_from is not None and max(blocks) >= apart_from:
+            own = np.repeat(np.array(blocks) >= apart_from, sizes)
+            _, alone = summed(np.where(own, counts, 0))
+            apart = [pack_counts(alone[a:b]) if block >= apart_from else None for block, (a, b) in zip(blocks, spans, strict=True)]
+        bucket = rows["bucket"][0].as_py()
+        return pa.table(
+            [
+                pa.array([*blocks, SUMMARY], pa.int32()),
+                pa.array([bucket] * (len(blocks) + 1), pa.int32()),
+                pa.array([*[pack_counts(out[a:b]) for a, b in spans], None], pa.binary()),
+                pa.array([*apart, None], pa.binary()),
+                pa.array([None] * len(blocks) + [int((total > 0).sum())], pa.int64()),
+                pa.array([None] * len(blocks) + [int(total.sum())], pa.int64()),
+            ],
+            names=["block", "bucket", "counts", "apart", "n_distinct", "total"],
+        )
 
     return asked.groupBy("bucket").applyInArrow(add_up, ANSWER)
 
 
-def read_answers(rows: pa.Table, columns: int) -> np.ndarray:
-    """A block's answers in the order of its keys."""
-    pairs = sorted(zip(rows["bucket"].to_pylist(), rows["counts"].to_pylist(), strict=True))
-    return np.frombuffer(b"".join(b for _, b in pairs), np.int32).reshape(-1, columns)
+def read_answers(rows: pa.Table, column: str = "counts") -> np.ndarray:
+    """A block's answers in the order of its keys, buckets ascending."""
+    pairs = sorted(zip(rows["bucket"].to_pylist(), rows[column].to_pylist(), strict=True))
+    return np.concatenate([read_counts(b) for _, b in pairs]) if pairs else np.zeros(0, np.int64)
 
 
 def with_answers(blocked: DataFrame, answered: DataFrame, read: Callable, schema) -> DataFrame:
     """``read(texts of a block, its answers)`` for every block."""
+    answered = answered.filter(F.col("block") != SUMMARY).select("block", "bucket", "counts", "apart")
     return blocked.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(read, schema)

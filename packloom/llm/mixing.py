@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from packloom.llm.components import _cut
+from packloom.llm.shared import cut
 
 ADDED = ["weight", "epoch", "block_order", "n_tokens"]
 #: The exponent is a multiple of 2**-20, so its decisions don't hang on the last digit.
@@ -97,7 +97,7 @@ def mix(
     names = [c for c in docs.columns if c not in ADDED and c != tokens_col]
     tokens = n_tokens(F.col(text_col)) if tokens_col is None else F.col(tokens_col)
     counted = docs.select(*names, tokens.alias("n_tokens"))
-    totals = _cut(counted.groupBy(F.col(source_col).alias("_source")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
+    totals = cut(counted.groupBy(F.col(source_col).alias("_source")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
     sized = totals.filter("tokens > 0")
     if sized.isEmpty():
         return counted.select(*names, F.lit(0.0).alias("weight"), F.lit(0).alias("epoch"), F.lit("").alias("block_order"), "n_tokens")
@@ -113,7 +113,7 @@ def mix(
     plan = plan.withColumn("whole", F.expr("share div tokens")).withColumn("rest", F.expr("share - whole * tokens"))
     # Sources without a token stay whole once.
     empty = totals.filter("tokens = 0 or tokens is null").select("_source", F.lit(0).cast("bigint").alias("tokens"), F.lit(0.0).alias("weight"), F.lit(0).cast("bigint").alias("share"), F.lit(1).cast("bigint").alias("whole"), F.lit(0).cast("bigint").alias("rest"))
-    plan = _cut(plan.unionByName(empty))
+    plan = cut(plan.unionByName(empty))
 
     buckets = max(16, int(facts["rows"]) // rows_per_bucket)
     # The order of each source's last block decides; the blocks before it hold every document.
@@ -122,7 +122,7 @@ def mix(
     sums = keyed.groupBy(F.col(source_col).alias("_source"), "_bucket").agg(F.sum("n_tokens").alias("held"))
     run = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.withColumn("_before", F.coalesce(F.sum("held").over(run), F.lit(0)))
-    known = _cut(before.join(plan.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "held"))
+    known = cut(before.join(plan.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "held"))
     known = known.withColumnRenamed("_bucket", "_b")
     match = keyed[source_col].eqNullSafe(known["_source"]) & (keyed["_bucket"] == known["_b"])
     rows = keyed.join(known.hint("shuffle_merge"), match)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm import chat, decontaminate, jaccard, licenses, mixing, quality, sharding, urls
+from packloom.llm import chat, decontaminate, jaccard, licenses, lm, mixing, quality, sharding, urls
 
 QUERIES, SQL = {}, {}
 
@@ -95,3 +95,8 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op7_decontamination"] = decontaminate.ORACLE
+
+
+@query
+def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
