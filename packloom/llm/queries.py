@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm import chat, decontaminate, jaccard, licenses, lm, mixing, quality, sharding, urls
+from packloom.llm import chat, decontaminate, jaccard, licenses, lines, lm, mixing, quality, sharding, urls
 
 QUERIES, SQL = {}, {}
 
@@ -100,3 +100,14 @@ SQL["op7_decontamination"] = decontaminate.ORACLE
 @query
 def op3_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the numbers of its lines that a near-equal line elsewhere replaces."""
+    docs = table(spark, sf_dir, "documents")
+    found = lines.decisions(docs).withColumnRenamed("doc_id", "_id")
+    sizes = docs.select("doc_id", (F.length("text") - F.length(F.translate("text", "\n", "")) + 1).cast("bigint").alias("n_lines"))
+    out = sizes.join(found.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    n = F.coalesce(F.size("dropped"), F.lit(0))
+    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.greatest(n, F.lit(0)).cast("bigint").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
