@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 
 from packloom.llm import blocks as B
 from packloom.llm import textvec as V
-from packloom.llm.components import _cut, components
+from packloom.llm.components import components
+from packloom.llm.shared import cut, stored
 from packloom.llm.textvec import U
 
 CARD = "doc_id long, n_shingles long, sig binary, lead long, tokens array<long>, shingles binary"
@@ -61,14 +62,14 @@ def cards(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     def ask(rows: pa.Table) -> pa.Table:
         values, _ = doc_sets(rows["text"], size)
         keys, counts = np.unique(values, return_counts=True)
-        return B.ask_rows(rows["block"][0].as_py(), keys, counts, bits, 32)
+        return B.ask_rows(rows["block"][0].as_py(), keys, np.minimum(counts, 255), bits, 32)
 
-    answered = B.answers(blocked.groupBy("block").applyInArrow(ask, B.ASK), 1, 32)
+    answered = B.answers(blocked.groupBy("block").applyInArrow(ask, B.ASK), 32, most=255)
 
     def read(rows: pa.Table, answer: pa.Table) -> pa.Table:
         values, offsets = doc_sets(rows["text"], size)
         _, back = np.unique(values, return_inverse=True)
-        df = B.read_answers(answer, 1)[:, 0][back] if len(values) else np.zeros(0, np.int32)
+        df = B.read_answers(answer)[back] if len(values) else np.zeros(0, np.int64)
         sigs, leads, tokens, sets = [], [], [], []
         for a, b in zip(offsets[:-1], offsets[1:], strict=True):
             own = values[a:b]
@@ -92,7 +93,10 @@ PACK = "g long, sigs array<binary>, sizes array<int>, copies array<long>, held b
 
 
 def pack_group(rows: pa.Table) -> pa.Table:
-    """A group's members and the union of their shingles as one row."""
+    """A group's members and the union of their shingles as one row; repeated rows of a class count once."""
+    sigs = rows["sig"].to_pylist()
+    once = sorted({s: i for i, s in enumerate(sigs)}.values())
+    rows = rows.take(once)
     sets = rows["shingles"].to_pylist()
     held = b"".join(sets)
     union = np.unique(np.frombuffer(held, U))
@@ -161,26 +165,30 @@ def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, members: int = 512, held: int = 400_000
 ) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other documents linked with this one) of every row."""
-    cut = _cut(cards(docs, id_col, text_col, size, percent))
-    shared = cut.filter("tokens is not null")
-    ids = shared.groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
-    sets = shared.groupBy("sig").agg(F.min(F.struct("n_shingles", "lead", "tokens", "shingles")).alias("s"))
-    classes = ids.join(sets, "sig").select("sig", "least_id", "copies", "s.*")
-    classes = _cut(classes)
+    made = stored(cards(docs, id_col, text_col, size, percent))
+    shared = made.filter("tokens is not null")
+    least = F.min(F.struct("n_shingles", "lead", "tokens")).alias("s")
+    classes = shared.groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), least)
+    classes = cut(classes.select("sig", "least_id", "copies", "s.*"))
 
     # Groups: same smallest hash; large ones in chunks.
     sizes = classes.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / F.lit(members), F.sum("n_shingles") / F.lit(held))).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("sig"), F.col("chunks"))
-    grouped = classes.join(sizes.hint("shuffle_merge"), "lead").withColumn("g", F.xxhash64("lead", chunk))
+    grouped = classes.join(sizes.hint("shuffle_merge"), "lead").select("sig", "least_id", "copies", "tokens", F.xxhash64("lead", chunk).alias("g"))
     matrix = grouped.select("g", F.explode("tokens").alias("token")).distinct()
     wide = matrix.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
     matrix = matrix.join(wide.hint("shuffle_merge"), "token")
     left, right = matrix.select("token", F.col("g").alias("g1")), matrix.select("token", F.col("g").alias("g2"))
     pairs = left.join(right.hint("shuffle_merge"), "token").filter("g1 < g2").select("g1", "g2").distinct()
     full = grouped.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    pairs = pairs.unionByName(full)
-
-    packs = _cut(grouped.select("g", "sig", "copies", "shingles").groupBy("g").applyInArrow(pack_group, PACK))
+    pairs = cut(pairs.unionByName(full))
+
+    # Sets are moved only for groups that meet another or hold more than one class; one document speaks for its class.
+    met = pairs.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
+    speakers = grouped.join(met.hint("shuffle_merge"), "g", "left_semi").select("g", F.col("sig").alias("_sig"), "copies", F.col("least_id").alias("_id"))
+    same = F.col("_sig").eqNullSafe(F.col("sig")) & F.col("_id").eqNullSafe(F.col("doc_id"))
+    members_of = speakers.hint("shuffle_merge").join(shared.select("sig", "doc_id", "shingles"), same).select("g", "sig", "copies", "shingles")
+    packs = stored(members_of.groupBy("g").applyInArrow(pack_group, PACK))
     one = packs.select(*[F.col(c).alias(f"{c}_1") for c in packs.columns])
     two = packs.select(*[F.col(c).alias(f"{c}_2") for c in packs.columns])
     met = pairs.join(one.hint("shuffle_merge"), pairs.g1 == one.g_1).join(two.hint("shuffle_merge"), F.col("g2") == two.g_2)
@@ -195,7 +203,7 @@ def jaccard_components(
             cols = list(zip(*out, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "n"])
 
-    linked = _cut(met.mapInArrow(compare, "a binary, b binary, n long"))
+    linked = cut(met.mapInArrow(compare, "a binary, b binary, n long"))
     roots = components(linked.select("a", "b"))
     degrees = linked.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "sig")
     own = classes.select("sig", "least_id", "copies")
@@ -206,6 +214,6 @@ def jaccard_components(
 
     # A class can hold very many documents, so the way back to them is salted.
     salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = cut.select("doc_id", "n_shingles", "sig").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    rows = made.select("doc_id", "n_shingles", "sig").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     out = rows.join(salted.hint("shuffle_merge"), ["sig", "salt"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
