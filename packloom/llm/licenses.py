@@ -45,8 +45,10 @@ ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels"
 
 
 def words_of(text: Column) -> Column:
-    """Words of a text with A-Z in lower case; null counts as empty."""
-    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(f"({WORD})"), F.lit(1))
+    """Words of a text with A-Z in lower case; null counts as empty.  For texts in ASCII, ``lower`` does the same faster."""
+    text = F.coalesce(text, F.lit(""))
+    low = F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
+    return F.regexp_extract_all(low, F.lit(f"({WORD})"), F.lit(1))
 
 
 def tokens(template: str) -> list[str]:
