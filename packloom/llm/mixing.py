@@ -122,7 +122,7 @@ def mix(
     sums = keyed.groupBy(F.col(source_col).alias("_source"), "_bucket").agg(F.sum("n_tokens").alias("held"))
     run = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.withColumn("_before", F.coalesce(F.sum("held").over(run), F.lit(0)))
-    known = cut(before.join(plan.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "held"))
+    known = cut(before.join(plan.withColumnRenamed("_source", "_s").hint("shuffle_merge"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "held"))
     known = known.withColumnRenamed("_bucket", "_b")
     match = keyed[source_col].eqNullSafe(known["_source"]) & (keyed["_bucket"] == known["_b"])
     rows = keyed.join(known.hint("shuffle_merge"), match)
