@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from packloom.schemas import FIELD, REQUIRED
-
-
-def make_field(pos: int, key: str, value: Column, kind: str = "str") -> Column:
-    """One entry of ``fields``; a null value gets kind ``null``."""
-    text = value.cast("string") if kind not in ("seq", "map") else F.lit(None).cast("string")
-    absent = F.lit(False) if kind in ("seq", "map") else value.isNull()
-    truthy = F.lit(True) if kind in ("seq", "map") else ~F.coalesce(text, F.lit("")).isin("", "0", "0.0", "False", "false")
-    if kind == "str":
-        truthy = F.coalesce(text, F.lit("")) != ""
-    return F.struct(
-        F.lit(pos).alias("pos"),
-        F.lit(key).alias("key"),
-        F.when(absent, "null").otherwise(kind).alias("kind"),
-        text.alias("value"),
-        truthy.alias("truthy"),
-    ).cast(FIELD)
+from packloom.schemas import REQUIRED
+
+
+def field_sql(pos: int, key: str, value: str, kind: str = "str") -> str:
+    """SQL of one entry of ``fields``; a null value gets kind ``null``, lists and mappings carry no value."""
+    if kind in ("seq", "map"):
+        kind_sql, text, truthy = f"'{kind}'", "cast(null as string)", "true"
+    else:
+        empty = "''" if kind == "str" else "'', '0', '0.0', 'False'"
+        kind_sql, text = f"if({value} is null, 'null', '{kind}')", f"cast({value} as string)"
+        truthy = f"coalesce({text}, '') not in ({empty})"
+    return f"named_struct('pos', {pos}, 'key', '{key}', 'kind', {kind_sql}, 'value', {text}, 'truthy', {truthy})"
 
 
 def get_field(key: str, fields: Column | str = "fields") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.functions.fields import entity_type, make_field
+from packloom.functions.fields import entity_type, field_sql
 from packloom.schemas import FIELD
 
 c, lit = F.col, F.lit
@@ -16,92 +16,93 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def pick(values: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*[lit(v) for v in values]), (index + 1).cast("int"))
-
-
 def cat(*parts) -> Column:
     return F.concat(*[lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
 
-def spec() -> dict[str, tuple[Column, Column, list[tuple[str, Column, str]]]]:
-    """Per table: pack, path within the pack and the fields (key, value, kind) in document order."""
-    attributes = ("attributes", F.struct(*[lit(10).alias(k) for k in ("str", "dex", "con", "int", "wis", "cha")]), "map")
-    first = F.substring_index("p_type", " ", 1)
-    item = F.coalesce(*[F.when(first == a, b) for a, b in (("ECONOMY", "weapon"), ("LARGE", "armor"), ("MEDIUM", "potion"), ("SMALL", "key"), ("STANDARD", "misc"))], F.lower(first))
+def choose(values: list[str], index: str) -> str:
+    return f"element_at(array({', '.join(repr(v) for v in values)}), cast({index} + 1 as int))"
+
+
+def spec() -> dict[str, tuple[str, str, list[tuple[str, str, str]]]]:
+    """Per table, in SQL: pack, path within the pack and the fields (key, value, kind) in document order."""
+    attributes = ("attributes", "named_struct('str', 10, 'dex', 10, 'con', 10, 'int', 10, 'wis', 10, 'cha', 10)", "map")
+    kinds = {"ECONOMY": "weapon", "LARGE": "armor", "MEDIUM": "potion", "SMALL": "key", "STANDARD": "misc"}
+    first = "substring_index(p_type, ' ', 1)"
+    item = f"case {first} " + " ".join(f"when '{k}' then '{v}'" for k, v in kinds.items()) + f" else lower({first}) end"
     return {
         "region": (
-            cat("w", c("r_regionkey")),
-            lit("meta.yaml"),
+            "concat('w', r_regionkey)",
+            "'meta.yaml'",
             [
-                ("id", cat("w", c("r_regionkey")), "str"),
-                ("name", c("r_name"), "str"),
-                ("ruleset", F.when(c("r_regionkey") == 4, "").otherwise("d20"), "str"),
-                ("starting_scene", F.when(c("r_regionkey") == 3, "s99").otherwise(cat("s", c("r_regionkey"))), "str"),
+                ("id", "concat('w', r_regionkey)", "str"),
+                ("name", "r_name", "str"),
+                ("ruleset", "if(r_regionkey = 4, '', 'd20')", "str"),
+                ("starting_scene", "if(r_regionkey = 3, 's99', concat('s', r_regionkey))", "str"),
             ],
         ),
         "nation": (
-            cat("w", c("n_nationkey") % 5),
-            cat("scenes/s", c("n_nationkey"), ".yaml"),
+            "concat('w', n_nationkey % 5)",
+            "concat('scenes/s', n_nationkey, '.yaml')",
             [
-                ("id", cat("s", c("n_nationkey")), "str"),
-                ("name", c("n_name"), "str"),
-                ("type", pick(["indoor", "outdoor", "dungeon", "urban", "wilderness", "space"], c("n_nationkey") % 6), "str"),
-                ("description", F.when(c("n_nationkey") % 7 != 0, cat("The land of ", c("n_name"))), "str"),
+                ("id", "concat('s', n_nationkey)", "str"),
+                ("name", "n_name", "str"),
+                ("type", choose(["indoor", "outdoor", "dungeon", "urban", "wilderness", "space"], "n_nationkey % 6"), "str"),
+                ("description", "if(n_nationkey % 7 <> 0, concat('The land of ', n_name), null)", "str"),
             ],
         ),
         "customer": (
-            cat("w", c("c_nationkey") % 5),
-            cat("player_characters/c", c("c_custkey"), ".yaml"),
+            "concat('w', c_nationkey % 5)",
+            "concat('player_characters/c', c_custkey, '.yaml')",
             [
-                ("id", cat("c", c("c_custkey")), "str"),
-                ("name", c("c_name"), "str"),
-                ("role", F.lower("c_mktsegment"), "str"),
-                ("race", F.when(c("c_acctbal") >= 0, "human"), "str"),
-                ("personality", lit("calm"), "str"),
+                ("id", "concat('c', c_custkey)", "str"),
+                ("name", "c_name", "str"),
+                ("role", "lower(c_mktsegment)", "str"),
+                ("race", "if(c_acctbal >= 0, 'human', null)", "str"),
+                ("personality", "'calm'", "str"),
                 attributes,
             ],
         ),
         "supplier": (
-            cat("w", c("s_nationkey") % 5),
-            cat("actors/a", c("s_suppkey"), ".yaml"),
+            "concat('w', s_nationkey % 5)",
+            "concat('actors/a', s_suppkey, '.yaml')",
             [
-                ("id", cat("a", c("s_suppkey")), "str"),
-                ("name", c("s_name"), "str"),
-                ("role", lit("merchant"), "str"),
-                ("race", lit("dwarf"), "str"),
-                ("personality", F.when(c("s_acctbal") < 0, "").otherwise("calm"), "str"),
+                ("id", "concat('a', s_suppkey)", "str"),
+                ("name", "s_name", "str"),
+                ("role", "'merchant'", "str"),
+                ("race", "'dwarf'", "str"),
+                ("personality", "if(s_acctbal < 0, '', 'calm')", "str"),
                 attributes,
             ],
         ),
         "part": (
-            cat("w", c("p_partkey") % 5),
-            cat("items/i", c("p_partkey"), ".yaml"),
+            "concat('w', p_partkey % 5)",
+            "concat('items/i', p_partkey, '.yaml')",
             [
-                ("id", cat("i", c("p_partkey")), "str"),
-                ("name", c("p_name"), "str"),
+                ("id", "concat('i', p_partkey)", "str"),
+                ("name", "p_name", "str"),
                 ("item_type", item, "str"),
-                ("rarity", pick(["common", "uncommon", "rare", "legendary", "mythic"], c("p_size") % 5), "str"),
-                ("value", c("p_size").cast("int"), "int"),
+                ("rarity", choose(["common", "uncommon", "rare", "legendary", "mythic"], "p_size % 5"), "str"),
+                ("value", "cast(p_size as int)", "int"),
             ],
         ),
         "orders": (
-            cat("w", c("o_orderkey") % 5),
-            cat("scene_objects/o", c("o_orderkey"), ".yaml"),
+            "concat('w', o_orderkey % 5)",
+            "concat('scene_objects/o', o_orderkey, '.yaml')",
             [
-                ("id", cat("o", c("o_orderkey")), "str"),
-                ("name", cat("object ", c("o_orderkey")), "str"),
-                ("object_type", F.when(c("o_orderstatus") == "F", "chest").when(c("o_orderstatus") == "O", "door").otherwise("portal"), "str"),
-                ("scene_id", cat("s", c("o_orderkey") % 30), "str"),
+                ("id", "concat('o', o_orderkey)", "str"),
+                ("name", "concat('object ', o_orderkey)", "str"),
+                ("object_type", "case o_orderstatus when 'F' then 'chest' when 'O' then 'door' else 'portal' end", "str"),
+                ("scene_id", "concat('s', o_orderkey % 30)", "str"),
             ],
         ),
         "documents": (
-            cat("w", c("doc_id") % 5),
-            cat("lore/d", c("doc_id"), ".yaml"),
+            "concat('w', doc_id % 5)",
+            "concat('lore/d', doc_id, '.yaml')",
             [
-                ("id", cat("d", c("doc_id")), "str"),
-                ("category", pick(CATEGORIES, F.substring("source", 4, 9).cast("int") % 8), "str"),
-                ("content", c("text"), "str"),
+                ("id", "concat('d', doc_id)", "str"),
+                ("category", choose(CATEGORIES, "cast(substring(source, 4, 9) as int) % 8"), "str"),
+                ("content", "text", "str"),
             ],
         ),
     }
@@ -116,15 +117,15 @@ def _doc(df: DataFrame, pack: Column, rel: Column, fields: Column, body: Column)
 def entity_docs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Documents of one table; ``body`` costs nothing where it isn't read."""
     pack, rel, fields = spec()[name]
-    array = F.array(*[make_field(i, k, v, kind) for i, (k, v, kind) in enumerate(fields)])
-    body = F.to_json(F.struct(*[v.alias(k) for k, v, _ in fields]))
-    return _doc(table(spark, sf_dir, name), pack, rel, array, body)
+    entries = ", ".join(field_sql(i, k, v, kind) for i, (k, v, kind) in enumerate(fields))
+    pairs = ", ".join(f"'{k}', {v}" for k, v, _ in fields)
+    return _doc(table(spark, sf_dir, name), F.expr(pack), F.expr(rel), F.expr(f"array({entries})"), F.expr(f"to_json(named_struct({pairs}))"))
 
 
 def story_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One story per pack for the rules.  Its lists are known to be there but aren't gathered in one row."""
     packs = table(spark, sf_dir, "conversations").select(cat("w", c("conv_id") % 5).alias("p")).distinct()
-    array = F.array(make_field(0, "arcs", lit(1), "seq"), make_field(1, "hooks", lit(1), "seq"))
+    array = F.expr(f"array({field_sql(0, 'arcs', '1', 'seq')}, {field_sql(1, 'hooks', '1', 'seq')})")
     return _doc(packs, c("p"), lit("story_setup.yaml"), array, lit(None).cast("string"))
 
 
