@@ -8,31 +8,27 @@ from pyspark.sql import functions as F
 from packloom.schemas import ALLOWED, REQUIRED
 
 
-def missing_messages(required: dict[str, list[str]] = REQUIRED) -> Column:
-    """A key is missing when absent, null or the empty string; empty lists and zero are present."""
+def _text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def present(key: Column) -> Column:
-        return F.exists("fields", lambda f: (f["key"] == key) & (f["kind"] != "null") & ~((f["kind"] == "str") & (f["value"] == "")))
 
-    keys = None
-    for name, names in required.items():
-        array = F.array(*[F.lit(k) for k in names])
-        keys = F.when(F.col("entity_type") == name, array) if keys is None else keys.when(F.col("entity_type") == name, array)
-    keys = F.coalesce(keys, F.array().cast("array<string>"))
-    return F.transform(F.filter(keys, lambda k: ~present(k)), lambda k: F.concat(F.col("rel"), F.lit(" missing: "), k))
+def _list(values: list[str]) -> str:
+    return ", ".join(map(_text, values))
 
 
-def invalid_messages(allowed: dict[str, list[str]] = ALLOWED) -> Column:
-    """Any top-level non-empty string under a ruled key that its list doesn't hold, in document order."""
+def missing_messages(required: dict[str, list[str]] = REQUIRED) -> Column:
+    """A key is missing when absent, null or the empty string; empty lists and zero are present."""
+    cases = " ".join(f"when {_text(kind)} then array({_list(keys)})" for kind, keys in required.items())
+    keys = f"coalesce(case entity_type {cases} end, cast(array() as array<string>))"
+    present = "exists(fields, f -> f.key = k and f.kind <> 'null' and not (f.kind = 'str' and f.value = ''))"
+    return F.expr(f"transform(filter({keys}, k -> not {present}), k -> concat(rel, ' missing: ', k))")
 
-    def bad(f: Column) -> Column:
-        out = F.lit(False)
-        for key, values in allowed.items():
-            out = out | ((f["key"] == key) & ~f["value"].isin(values))
-        return (f["kind"] == "str") & (f["value"] != "") & out
 
-    hits = F.filter("fields", bad)
-    return F.transform(hits, lambda f: F.concat(F.col("rel"), F.lit(" invalid "), f["key"], F.lit(": '"), f["value"], F.lit("'")))
+def invalid_messages(allowed: dict[str, list[str]] = ALLOWED) -> Column:
+    """Any top-level non-empty string under a ruled key that its list doesn't hold, in document order."""
+    outside = " or ".join(f"(f.key = {_text(key)} and f.value not in ({_list(values)}))" for key, values in allowed.items())
+    bad = f"f.kind = 'str' and f.value <> '' and ({outside or 'false'})"
+    return F.expr(f"transform(filter(fields, f -> {bad}), f -> concat(rel, ' invalid ', f.key, ': \\'', f.value, '\\''))")
 
 
 def with_file_errors(docs: DataFrame, required=REQUIRED, allowed=ALLOWED) -> DataFrame:
