@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,29 @@ def test_lines(spark):
     assert [got[i].n_dropped for i in range(7)] == [0, 0, 1, 1, 0, 0, 0] and got[4].text is None and got[6].text == "\n\n"
 
 
+def test_short_lines_with_few_changed_words_are_candidates():
+    rng = np.random.default_rng(5)
+    for n in range(5, lines.SHORT + 1):
+        for _ in range(20):
+            one = [f"{WORDS[k]}{chr(97 + rng.integers(26))}" for k in rng.integers(len(WORDS), size=n)]
+            two = list(one)
+            for k in rng.choice(n, int(lines.changes(np.array(n))), replace=False):
+                two[k] = ["", two[k][:-1] + "é", two[k] + " " + two[k]][rng.integers(3)]
+            two = " ".join(two).split()
+            if min(len(one), len(two)) < 5 or max(len(one), len(two)) > lines.SHORT:
+                continue
+            t = lines.line_table(pa.array([" ".join(one), " ".join(two)]), 5)
+            a, b = (set(k[k != 0].tolist()) for k in t["keys"])
+            assert a & b or t["id"][0] == t["id"][1], (one, two)
+
+
+def test_one_edit_in_each_half_of_a_line(spark):
+    line = "quiet river stones under bridge where old boats sleep while rain sings"
+    rows = [(1, line), (2, line.replace("stones", "stonis").replace("sleep", "slept")), (3, line.replace("rain", "raid").replace("river", "rivet").replace("where", "were"))]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_dropped for r in got] == [0, 1, 1]
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
