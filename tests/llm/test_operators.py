@@ -239,6 +239,15 @@ def test_one_edit_in_each_half_of_a_line(spark):
     assert [r.n_dropped for r in got] == [0, 1, 1]
 
 
+def test_equal_short_lines(spark, tmp_path):
+    from packloom.llm import queries
+
+    rows = [(1, "Read more\nMenu\n\n--"), (2, "read MORE!\n\nmenus\n--\nread more now"), (3, "x\nMENU.\nx"), (None, "menu"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_lines, r.dropped or "") for r in queries.op4_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, "1"), 2: (5, "0"), 3: (3, "1,2"), None: (1, ""), 5: (0, "")}
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
