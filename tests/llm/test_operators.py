@@ -180,6 +180,14 @@ def test_urls(spark):
     assert {r.verdict for r in got.values()} <= {"allow", "block"} and got[2].verdict == "block"
 
 
+def test_url_sample_is_of_distinct_urls(spark):
+    rows = [("a://hot", "allow")] * 50 + [(f"a://{i}", "allow") for i in range(6)] * 3 + [("b://one", "block")] * 9 + [(None, "block"), ("c://open", None)]
+    good, bad = urls.labelled_sample(spark.createDataFrame(rows, "url string, verdict string"), 5)
+    assert len(good) == len(set(good)) == 5 and bad == ["b://one"]
+    good, _ = urls.labelled_sample(spark.createDataFrame(rows, "url string, verdict string"), 50)
+    assert set(good) == {"a://hot"} | {f"a://{i}" for i in range(6)}
+
+
 def test_url_model_tells_classes_apart():
     good = [f"https://{a}{b}.org/news/{i}" for i, (a, b) in enumerate(itertools.product(("river", "stone", "hill"), WORDS))]
     bad = [f"http://cheap-{a}-pills{b}.biz/win?{i}" for i, (a, b) in enumerate(itertools.product(("buy", "bet", "casino"), WORDS))]
