@@ -178,6 +178,15 @@ def pack_report(spark, sf):
     return summary.reports(errors, summary.pack_summary(docs))
 
 
+@query(_BASE + """select pack, 0 part, '  '||message line from (select pack, message from own union all select pack, message from orphan)
+ union all select pack, 1, repeat('-',50) from summ union all select pack, 2, passed||' passed, '||failed||' failed' from summ""")
+def pack_report_rows(spark, sf):
+    """The lines of all reports, with the errors of all tables."""
+    docs = T.docs(spark, sf)
+    errors = summary.all_errors(docs)
+    return summary.report_rows(errors, summary.pack_summary(docs, errors))
+
+
 _PRESET = """with o as (select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_orderkey)-1 pos from orders),
  e as (select 'p'||c_custkey pack, 'meta' entity_type, 0 pos, 'p'||c_custkey id, 'meta.yaml' rel from customer
  union all select 'p'||c_custkey, 'story_setup', 0, null, 'story_setup.yaml' from customer

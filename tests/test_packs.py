@@ -71,6 +71,27 @@ def test_report_and_missing_root(spark, tmp_path):
     assert run(spark, tmp_path / "nowhere")[:3] == (0, 0, True)
 
 
+def test_report_rows_are_the_reports(spark, tmp_path):
+    from packloom.operators import summary
+
+    bad = {"items/x.yaml": {"id": "x", "name": "n"}, "lore/h.yaml": {"id": "h1", "category": "rumor"}, "scene_objects/c.yaml": {"id": "c", "name": "C", "object_type": "chest", "scene_id": "void"}}
+    roots = [put(tmp_path / "p", VALID | bad), put(tmp_path / "q", VALID)]
+    v = validate_roots(spark, roots)
+    rows = summary.report_rows(v.errors.unionByName(v.errors), v.summary).orderBy("pack", "part", "line").collect()
+    assert "\n".join(r.line for r in rows if r.pack == roots[1]) == v.report(roots[1])
+    want = v.report(roots[0]).split("\n")
+    assert [r.line for r in rows if r.pack == roots[0]] == sorted(2 * want[:-2]) + want[-2:] and len(want) == 6
+
+
+def test_report_rows_cover_every_table(spark):
+    from packloom.plans.queries import Q
+
+    rows = Q["pack_report_rows"](spark, "/root/testdata/sf0.001")
+    kinds = {r.line.split("/")[0] for r in rows.filter("part = 0").collect()}
+    assert {"  lore", "  player_characters", "  items", "  scene_objects"} <= kinds
+    assert rows.filter("part = 0").count() == Q["all_errors"](spark, "/root/testdata/sf0.001").count()
+
+
 def preset(spark, tmp_path, **more):
     e = lambda n, **k: [{"id": f"{n}{i}", "name": n} | k for i in (1, 2)]
     data = {
