@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from packloom.llm import decontaminate, jaccard, mixing, quality, sharding
 from packloom.llm.shared import shared_dir
@@ -20,10 +21,21 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8, the smallest doc_id stays; so do texts without words."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"), size=5, percent=80)
-    gone = found.filter("component_id <> doc_id").select("doc_id")
-    return docs.join(gone.hint("shuffle_merge"), "doc_id", "left_anti").select(docs.columns)
+    """Of each group linked by five-word shingles at a similarity of 0.8, one row stays; so do all texts without words.
+
+    It is the row of the smallest doc_id, null only where no row of the group has one, and of
+    the smallest hash of the whole row among several.  Rows are told apart by that hash (64
+    bits), so rows that share a doc_id but not a text are judged apart, and of equal rows one stays.
+    """
+    row = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    worded = F.coalesce("text", F.lit("")).rlike("[^ \\t-\\r]")
+    rows = docs.filter(worded).withColumn("_row", row)
+    found = jaccard.jaccard_components(rows.select("_row", "text"), "_row", size=5, percent=80).select(F.col("doc_id").alias("_row"), "component_id")
+    ids = rows.select("_row", "doc_id")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("first")
+    kept = found.distinct().join(ids.distinct().hint("shuffle_merge"), "_row").groupBy("component_id").agg(first).select("first._row")
+    once = rows.dropDuplicates(["_row"]).join(kept.hint("shuffle_merge"), "_row", "left_semi")
+    return once.select(docs.columns).unionByName(docs.filter(~worded))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,6 +256,19 @@ def test_equal_short_lines(spark, tmp_path):
     assert got == {1: (4, "1"), 2: (5, "0"), 3: (3, "1,2"), None: (1, ""), 5: (0, "")}
 
 
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline as P
+
+    a, b, c, d = TEXTS[6], TEXTS[7], TEXTS[8], TEXTS[9]
+    near = a.replace(a.split()[30], "CHANGED", 1)
+    rows = [(5, a, "en"), (5, a, "en"), (5, b, "en"), (3, near, None), (7, b, "de"), (None, c, "en"), (None, c, "en"), (None, None, "en"), (None, d, "en"), (9, d, "en"), (3, TEXTS[10], "en"), (8, " \n", "en"), (8, " \n", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    out = P.drop_near_duplicates(spark, docs, "")
+    want = [(3, near, None), (5, b, "en"), (None, c, "en"), (None, None, "en"), (9, d, "en"), (3, TEXTS[10], "en"), (8, " \n", "en"), (8, " \n", "en")]
+    assert Counter(map(tuple, out.collect())) == Counter(want) and out.columns == docs.columns
+    assert P.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
