@@ -13,13 +13,20 @@ def read_presets(spark, path: str) -> DataFrame:
     return spark.read.schema(PRESET_DDL).json(path, multiLine=True)
 
 
-def pick_presets(presets: DataFrame, names: list[str]) -> DataFrame:
-    """The presets of these names; an unknown name raises ``ValueError``."""
-    wanted = presets.sparkSession.createDataFrame([(n,) for n in names], "name string")
-    unknown = [r.name for r in wanted.join(presets.select("name"), "name", "left_anti").take(5)]
+def pick_presets(presets: DataFrame, names: list[str] | DataFrame) -> DataFrame:
+    """The presets of these names (a list, or a table with a column ``name``); an unknown name raises ``ValueError``."""
+    wanted = names.select("name") if isinstance(names, DataFrame) else presets.sparkSession.createDataFrame([(n,) for n in names], "name string")
+    unknown = [r.name for r in wanted.join(presets.select("name").hint("shuffle_merge"), "name", "left_anti").take(5)]
     if unknown:
-        raise ValueError("Unknown preset: " + ", ".join(sorted(unknown)))
-    return presets.join(wanted.distinct(), "name", "left_semi")
+        raise ValueError("Unknown preset: " + ", ".join(sorted(map(str, unknown))))
+    return presets.join(wanted.hint("shuffle_merge"), "name", "left_semi")
+
+
+def existing_names(files: DataFrame) -> DataFrame:
+    """The names that a target's files (pack, rel) have taken: pack, entity_type, names; for ``expand``."""
+    folder, name = F.substring_index("rel", "/", 1), F.regexp_extract("rel", r"^[^/]*/([^/]*)\.yaml$", 1)
+    named = files.filter(folder.isin(RESOURCES) & F.col("rel").rlike(r"^[^/]*/[^/]*\.yaml$")).select("pack", folder.alias("entity_type"), name.alias("name"))
+    return named.groupBy("pack", "entity_type").agg(F.collect_set("name").alias("names"))
 
 
 def entity_names(bodies: str, resource: str, seed: str = "array()") -> str:
@@ -63,7 +70,7 @@ def expand(presets: DataFrame, existing: DataFrame | None = None) -> DataFrame:
         seed = "array()"
         if existing is not None:
             have = existing.filter(F.col("entity_type") == resource).select("pack", F.col("names").alias("have"))
-            rows, seed = rows.join(have, "pack", "left"), "coalesce(have, array())"
+            rows, seed = rows.join(have.hint("shuffle_merge"), "pack", "left"), "coalesce(have, array())"
         named = rows.select("pack", "bodies", F.expr(entity_names("bodies", resource, seed)).alias("ids"))
         listed = named.select("pack", F.posexplode(F.arrays_zip("ids", "bodies")).alias("pos", "e"))
         out = out.unionByName(
@@ -91,16 +98,18 @@ def limit_entities(entities: DataFrame, limits: dict[str, int] | None = None, ca
 
 
 def last_write_wins(entities: DataFrame) -> DataFrame:
-    """Of the entities with one name, the last; names never repeat in a run's output."""
-    by_name = Window.partitionBy("pack", "rel").orderBy(F.col("pos").desc(), F.col("body").desc())
-    return entities.withColumn("_nth", F.row_number().over(by_name)).filter("_nth = 1").drop("_nth")
+    """Of the entities with one name, the last (by pos, then body); combined before the shuffle."""
+    rest = [c for c in entities.columns if c not in ("pack", "rel")]
+    last = F.max_by(F.struct(*rest), F.struct("pos", "body")).alias("_last")
+    return entities.groupBy("pack", "rel").agg(last).select(*[c if c in ("pack", "rel") else F.col(f"_last.{c}").alias(c) for c in entities.columns])
 
 
 def merge_run(old: DataFrame, new: DataFrame) -> DataFrame:
     """Earlier runs' other files stay, files of the same name are replaced."""
-    return old.join(new.select("pack", "rel"), ["pack", "rel"], "left_anti").unionByName(new, allowMissingColumns=True)
+    return old.join(new.select("pack", "rel").hint("shuffle_merge"), ["pack", "rel"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def write_entities(entities: DataFrame, path: str) -> None:
-    """The entity table, partitioned so that later reads of a pack or a type prune."""
-    entities.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pack", "entity_type").parquet(path)
+    """The entity table, partitioned by type; packs are dealt into files by name, so there are few files however many packs."""
+    dealt = entities.repartition("entity_type", F.pmod(F.xxhash64("pack"), F.lit(16)))
+    dealt.sortWithinPartitions("entity_type", "pack").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity_type").parquet(path)

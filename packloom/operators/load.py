@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from packloom.schemas import DOCS_DDL, ENTITY_DDL
 
-from packloom.schemas import ENTITY_DDL
+LOAD_DDL = "pack string, load string, at long"
+#: A list of loads of at most so many packs is sent to all tasks; a longer one is joined by a shuffle.
+BROADCAST_PACKS = 100_000
 
 
 def load_typed(docs: DataFrame, kind: str) -> DataFrame:
@@ -33,37 +41,72 @@ def typed_tables(docs: DataFrame) -> dict[str, DataFrame]:
 
 
 def child_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The nested lists of the typed tables as tables of their own."""
+    """The nested lists of the typed tables given as tables of their own."""
 
     def lines(kind: str, column: str) -> DataFrame:
         df = tables[kind].select("pack", F.lit(kind).alias("owner_type"), F.col("id").alias("owner_id"), F.posexplode(column).alias("pos", "e"))
         return df.select("pack", "owner_type", "owner_id", "pos", "e.*")
 
-    story = tables["story_setup"]
-    return {
-        "scene_exits": lines("scenes", "exits"),
-        "scene_landmarks": lines("scenes", "landmarks"),
-        "inventory_lines": lines("actors", "inventory").unionByName(lines("player_characters", "inventory")),
-        "shop_lines": lines("actors", "function_data.merchant.shop_inventory"),
-        "loot_lines": lines("scene_objects", "interact_data.loot_table"),
-        "story_arcs": story.select("pack", "rel", F.posexplode("arcs").alias("pos", "e")).select("pack", "rel", "pos", "e.*"),
-        "story_hooks": story.select("pack", "rel", F.posexplode("hooks").alias("pos", "e")).select("pack", "rel", "pos", "e.*"),
+    def parts(column: str) -> DataFrame:
+        return tables["story_setup"].select("pack", "rel", F.posexplode(column).alias("pos", "e")).select("pack", "rel", "pos", "e.*")
+
+    def inventory() -> DataFrame:
+        owners = [lines(kind, "inventory") for kind in ("actors", "player_characters") if kind in tables]
+        return owners[0] if len(owners) == 1 else owners[0].unionByName(owners[1])
+
+    made = {
+        "scene_exits": ("scenes", lambda: lines("scenes", "exits")),
+        "scene_landmarks": ("scenes", lambda: lines("scenes", "landmarks")),
+        "inventory_lines": ("actors", inventory),
+        "shop_lines": ("actors", lambda: lines("actors", "function_data.merchant.shop_inventory")),
+        "loot_lines": ("scene_objects", lambda: lines("scene_objects", "interact_data.loot_table")),
+        "story_arcs": ("story_setup", lambda: parts("arcs")),
+        "story_hooks": ("story_setup", lambda: parts("hooks")),
     }
+    return {name: make() for name, (kind, make) in made.items() if kind in tables}
+
+
+def all_tables(docs: DataFrame) -> dict[str, DataFrame]:
+    """The eight typed tables, sound documents only, and the seven child tables."""
+    typed = typed_tables(docs)
+    return typed | child_tables(typed)
 
 
-def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Replace the packs that the tables hold and leave other packs alone.
+def table_schema(spark: SparkSession, name: str) -> StructType:
+    return all_tables(spark.createDataFrame([], DOCS_DDL))[name].schema
 
-    Tables are written one after another; a reader that needs all of them at one state
-    reads a directory named after the load and is pointed to it afterwards.
+
+def load_packs(tables: dict[str, DataFrame], packs: DataFrame, path: str) -> str:
+    """Replace these packs (pack) in every table by what ``tables`` holds of them; other packs stay.
+
+    Each load writes folders of its own, ``<path>/<table>/load=<id>/pack=<pack>``, and says
+    at the very end, in ``<path>/loads``, which packs it holds.  Readers take the last load
+    of each pack, so all tables change at once, a load that fails changes nothing, and a
+    pack without rows in a table has none left there.
     """
+    load = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pack").parquet(f"{path}/{name}")
+        held = df.join(packs.select("pack").distinct().hint("shuffle_merge"), "pack", "left_semi")
+        held.withColumn("load", F.lit(load)).write.mode("append").partitionBy("load", "pack").parquet(f"{path}/{name}")
+    said = packs.select("pack").distinct().select("pack", F.lit(load).alias("load"), F.lit(time.time_ns()).alias("at"))
+    said.write.mode("append").parquet(f"{path}/loads")
+    return load
+
+
+def read_table(spark: SparkSession, path: str, name: str, schema: StructType | None = None) -> DataFrame:
+    """A loaded table: of every pack, the rows of its last load."""
+    last = spark.read.schema(LOAD_DDL).parquet(f"{path}/loads").groupBy("pack").agg(F.max_by("load", "at").alias("load"))
+    small = last.limit(BROADCAST_PACKS + 1).count() <= BROADCAST_PACKS
+    schema = table_schema(spark, name) if schema is None else schema
+    columns = [c for c in schema.names if c != "pack"]
+    stored = StructType([f for f in schema.fields if f.name != "pack"]).add("load", "string").add("pack", "string")
+    rows = spark.read.schema(stored).parquet(f"{path}/{name}")
+    return rows.join(last.hint("broadcast" if small else "shuffle_merge"), ["load", "pack"], "left_semi").select("pack", *columns)
 
 
 def gate(docs: DataFrame, summary: DataFrame) -> DataFrame:
     """Only documents of valid packs go on to the load."""
-    return docs.join(summary.filter("is_valid").select("pack"), "pack", "left_semi")
+    return docs.join(summary.filter("is_valid").select("pack").hint("shuffle_merge"), "pack", "left_semi")
 
 
 def corpus(tables: dict[str, DataFrame]) -> DataFrame:

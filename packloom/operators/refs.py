@@ -2,82 +2,118 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.functions.fields import get_field, id_key
 
+#: Keys that name another document.
+REF_KEYS = ("scene_id", "starting_scene")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Add ``id_key`` and ``refs`` (field, value, key) where the table doesn't have them yet.
+
+    Stored with the documents they let reference checks read two narrow columns only.
+    ``starting_scene`` counts in documents with ``meta`` in their full path; only truthy
+    values do.
+    """
+    if "refs" in docs.columns:
+        return docs
+    ruled = F.filter("fields", lambda f: f["key"].isin(*REF_KEYS) & f["truthy"] & ((f["key"] == "scene_id") | F.col("path").contains("meta")))
+    refs = F.transform(ruled, lambda f: F.struct(f["key"].alias("field"), f["value"].alias("value"), id_key(f).alias("key")))
+    return docs.withColumns({"id_key": id_key(get_field("id")), "refs": refs})
 
 
 def id_pool(docs: DataFrame) -> DataFrame:
     """Distinct ids of every mapping document of a pack, whatever its type."""
-    return docs.select("pack", id_key(get_field("id")).alias("id_key")).filter("id_key is not null").distinct()
+    return keyed(docs).select("pack", "id_key").filter("id_key is not null").distinct()
 
 
 def scene_refs(docs: DataFrame) -> DataFrame:
-    """``scene_id`` of any document, ``starting_scene`` of those with ``meta`` in their full path; truthy values only."""
-    entries = docs.select(
-        "pack",
-        "path",
-        F.explode(F.filter("fields", lambda f: f["key"].isin("scene_id", "starting_scene") & f["truthy"])).alias("f"),
-    )
-    ruled = (F.col("f.key") == "scene_id") | F.col("path").contains("meta")
-    return entries.filter(ruled).select("pack", "path", F.col("f.key").alias("field"), F.col("f.value").alias("value"), id_key(F.col("f")).alias("id_key"))
+    """Every reference to a scene: pack, path, field, value, id_key."""
+    entries = keyed(docs).filter("size(refs) > 0").select("pack", "path", F.explode("refs").alias("f"))
+    return entries.select("pack", "path", "f.field", "f.value", F.col("f.key").alias("id_key"))
 
 
 def anti(refs: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``refs`` without a target; the engine picks the join by measured size."""
-    return refs.join(targets, on, "left_anti")
+    """Rows of ``refs`` without a target.
+
+    Both sides are dealt out by key as they are, without a distinct in between, so that
+    the engine can split the partition of a target that very many rows refer to.
+    """
+    return refs.join(targets.hint("shuffle_merge"), on, "left_anti")
 
 
-def orphans(docs: DataFrame, fields: tuple[str, ...] = ("scene_id", "starting_scene")) -> DataFrame:
+def orphans(docs: DataFrame, fields: tuple[str, ...] = REF_KEYS) -> DataFrame:
     """References to ids that no document of the pack has, with their message."""
+    docs = keyed(docs)
     refs = scene_refs(docs).filter(F.col("field").isin(*fields))
+    ids = docs.select("pack", "id_key").filter("id_key is not null")
     message = F.concat(F.lit("[cross-ref] "), F.col("path"), F.lit(": "), F.col("field"), F.lit(" '"), F.col("value"), F.lit("' not found"))
-    return anti(refs, id_pool(docs), ["pack", "id_key"]).select("pack", "path", "field", "value", message.alias("message"))
+    return anti(refs, ids, ["pack", "id_key"]).select("pack", "path", "field", "value", message.alias("message"))
 
 
 def strict_orphans(refs: DataFrame, entities: DataFrame) -> DataFrame:
     """Optional rules: ``refs`` (pack, rule, target_type, id) whose id isn't one of the target type.
 
-    ``target_type`` null accepts an entity of any type.  ``entities``: pack, entity_type, id.
+    ``target_type`` null accepts an entity of any type.  ``entities``: pack, entity_type,
+    id.  Every entity stands once under its type and once under none, so one join serves both.
     """
-    ids = entities.select("pack", F.col("entity_type").alias("target_type"), "id").distinct()
-    typed = refs.filter("target_type is not null and coalesce(id, '') <> ''").join(ids, ["pack", "target_type", "id"], "left_anti")
-    free = refs.filter("target_type is null and coalesce(id, '') <> ''").join(ids.select("pack", "id").distinct(), ["pack", "id"], "left_anti")
-    return typed.select("pack", "rule", "target_type", "id").unionByName(free.select("pack", "rule", "target_type", "id"))
+    types = F.array(F.col("entity_type"), F.lit(""))
+    ids = entities.select("pack", F.explode(types).alias("_target"), "id")
+    wanted = refs.filter("coalesce(id, '') <> ''").withColumn("_target", F.coalesce("target_type", F.lit("")))
+    return anti(wanted, ids, ["pack", "_target", "id"]).select("pack", "rule", "target_type", "id")
+
+
+def _declared() -> dict[str, list[tuple[str, str | None, str]]]:
+    """Per type: rule, type of the target and SQL of an array of ids."""
+    inventory = ("inventory_item", "items", "inventory.item_id")
+    equipment = ("equipment_item", "items", "array(equipment.weapon, equipment.armor)")
+    return {
+        "scene_objects": [("object_scene", "scenes", "array(scene_id)"), ("loot_item", "items", "interact_data.loot_table.item_id")],
+        "meta": [("starting_scene", "scenes", "array(starting_scene)")],
+        "scenes": [("exit_target", "scenes", "exits.target_scene")],
+        "lore": [("lore_reference", None, "references")],
+        "actors": [inventory, equipment, ("shop_item", "items", "function_data.merchant.shop_inventory.item_id")],
+        "player_characters": [inventory, equipment],
+        "story_setup": [("arc_cast", "player_characters", "flatten(arcs.main_cast)")],
+    }
 
 
 def declared_refs(tables: dict[str, DataFrame]) -> DataFrame:
-    """Every reference that the entity schemas declare, from the typed tables: pack, rule, target_type, id."""
-
-    def rows(df: DataFrame, rule: str, target: str | None, value: Column) -> DataFrame:
-        return df.select("pack", F.lit(rule).alias("rule"), F.lit(target).cast("string").alias("target_type"), value.alias("id"))
-
-    t = tables
-    out = [
-        rows(t["scene_objects"], "object_scene", "scenes", F.col("scene_id")),
-        rows(t["meta"], "starting_scene", "scenes", F.col("starting_scene")),
-        rows(t["scenes"], "exit_target", "scenes", F.explode("exits.target_scene")),
-        rows(t["lore"], "lore_reference", None, F.explode("references")),
-        rows(t["actors"], "inventory_item", "items", F.explode("inventory.item_id")),
-        rows(t["player_characters"], "inventory_item", "items", F.explode("inventory.item_id")),
-        rows(t["actors"], "shop_item", "items", F.explode("function_data.merchant.shop_inventory.item_id")),
-        rows(t["scene_objects"], "loot_item", "items", F.explode("interact_data.loot_table.item_id")),
-        rows(t["story_setup"], "arc_cast", "player_characters", F.explode(F.flatten("arcs.main_cast"))),
-    ]
-    for kind in ("actors", "player_characters"):
-        for slot in ("weapon", "armor"):
-            out.append(rows(t[kind], "equipment_item", "items", F.col(f"equipment.{slot}")))
-    union = out[0]
-    for more in out[1:]:
-        union = union.unionByName(more)
+    """Every reference that the entity schemas declare, from the typed tables given: pack, rule, target_type, id.
+
+    A table is read once, whatever the number of its rules.
+    """
+    union = None
+    for kind, rules in _declared().items():
+        if kind not in tables:
+            continue
+        each = ", ".join(
+            f"transform(coalesce({ids}, cast(array() as array<string>)), i -> named_struct('rule', '{rule}', 'target_type', {repr(target) if target else 'cast(null as string)'}, 'id', i))"
+            for rule, target, ids in rules
+        )
+        rows = tables[kind].select("pack", F.explode(F.expr(f"concat({each})")).alias("r")).select("pack", "r.*")
+        union = rows if union is None else union.unionByName(rows)
     return union
 
 
 def nested_domains(story: DataFrame) -> DataFrame:
     """Optional domain rules inside stories: pack, rule, value of hooks' urgency and arcs' type outside their lists."""
-    hooks = story.select("pack", F.lit("hook_urgency").alias("rule"), F.explode("hooks.urgency").alias("value"))
-    arcs = story.select("pack", F.lit("arc_type").alias("rule"), F.explode("arcs.type").alias("value"))
-    bad_hook = hooks.filter("value <> ''").filter(~F.col("value").isin("low", "medium", "high"))
-    return bad_hook.unionByName(arcs.filter("value <> ''").filter(~F.col("value").isin("main", "side")))
+    hooks = "transform(hooks.urgency, v -> named_struct('rule', 'hook_urgency', 'value', v, 'bad', v not in ('low', 'medium', 'high')))"
+    arcs = "transform(arcs.type, v -> named_struct('rule', 'arc_type', 'value', v, 'bad', v not in ('main', 'side')))"
+    none = "cast(array() as array<struct<rule:string,value:string,bad:boolean>>)"
+    each = F.explode(F.expr(f"concat(coalesce({hooks}, {none}), coalesce({arcs}, {none}))")).alias("r")
+    return story.select("pack", each).filter("r.bad and r.value <> ''").select("pack", "r.rule", "r.value")
+
+
+def ids_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """pack, entity_type and id of every entity of the typed tables."""
+    union = None
+    for kind, df in tables.items():
+        if "id" in df.columns:
+            rows = df.select("pack", F.lit(kind).alias("entity_type"), "id").filter("id is not null")
+            union = rows if union is None else union.unionByName(rows)
+    return union
+

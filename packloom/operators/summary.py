@@ -43,19 +43,13 @@ def pack_summary(docs: DataFrame, errors: DataFrame | None = None, packs: DataFr
 
 
 def report_rows(errors: DataFrame, summary: DataFrame) -> DataFrame:
-    """The lines of all reports as rows: pack, part (0 an error, 1 the rule, 2 the counts) and line.
+    """The lines of all reports as rows: pack, part and line.
 
-    Sorted by part and line, a pack's rows are its report.  A pack's errors are never
-    gathered, so it may have any number of them; repeated messages stay.
+    Parts: 0 errors of single documents, 1 errors of references, 2 the rule of 50 dashes,
+    3 the counts.  Sorted by part and line, a pack's rows are its report.  A pack's errors
+    are never gathered, so it may have any number of them; repeated messages stay.
     """
-    own = errors.select("pack", F.lit(0).alias("part"), F.concat(F.lit("  "), "message").alias("line"))
-    rule = summary.select("pack", F.lit(1).alias("part"), F.lit("-" * 50).alias("line"))
+    own = errors.select("pack", F.col("stage").alias("part"), F.concat(F.lit("  "), "message").alias("line"))
+    rule = summary.select("pack", F.lit(2).alias("part"), F.lit("-" * 50).alias("line"))
     counts = F.concat(F.col("passed").cast("string"), F.lit(" passed, "), F.col("failed").cast("string"), F.lit(" failed"))
-    return own.unionByName(rule).unionByName(summary.select("pack", F.lit(2).alias("part"), counts.alias("line")))
-
-
-def reports(errors: DataFrame, summary: DataFrame) -> DataFrame:
-    """One text per pack: indented sorted errors, a rule of 50 dashes, the counts.  For packs people read."""
-    lines = errors.groupBy("pack").agg(F.array_join(F.sort_array(F.collect_list(F.concat(F.lit("  "), "message"))), "\n").alias("lines"))
-    tail = F.concat(F.lit("-" * 50 + "\n"), F.col("passed").cast("string"), F.lit(" passed, "), F.col("failed").cast("string"), F.lit(" failed"))
-    return summary.join(lines, "pack", "left").select("pack", F.concat(F.coalesce(F.concat("lines", F.lit("\n")), F.lit("")), tail).alias("report"))
+    return own.unionByName(rule).unionByName(summary.select("pack", F.lit(3).alias("part"), counts.alias("line")))

@@ -9,8 +9,12 @@ from packloom.operators import generate as G
 from packloom.operators import load as L
 from packloom.operators import refs as R
 from packloom.operators import rules, summary
-from packloom.operators.classify import type_counts
+from packloom.operators.classify import classify, type_counts, with_rel
+from packloom.plans import validate as V
+from packloom.schemas import ALLOWED, ENTITY_DDL, REQUIRED
 from packloom.sources import tables as T
+from packloom.sources.packtree import write_packs
+from packloom.storage import new_path
 
 Q, SQL = {}, {}
 
@@ -26,18 +30,7 @@ def query(sql: str | None = None):
 
 
 # The same documents in plain SQL: one row per document, then one per field.
-_TYPES = ["meta", "lore", "scenes", "player_characters", "actors", "items", "scene_objects", "story_setup"]
-_TYPE = "case " + " ".join(f"when contains(rel, '{t}') then '{t}'" for t in _TYPES) + " end"
-_KEYS = {
-    "meta": "id,name,ruleset,starting_scene",
-    "lore": "id,category,content",
-    "scenes": "id,name,type,description",
-    "player_characters": "id,name,role,race,personality,attributes",
-    "actors": "id,name,role,race,personality,attributes",
-    "items": "id,name,item_type",
-    "scene_objects": "id,name,object_type,scene_id",
-    "story_setup": "arcs,hooks",
-}
+_TYPE = "case " + " ".join(f"when contains(rel, '{t}') then '{t}'" for t in REQUIRED) + " end"
 _FIELD_ROWS = """
  select 'w'||r_regionkey pack, 'meta.yaml' rel, unnest(['id','name','ruleset','starting_scene']) k,
    unnest(['w'||r_regionkey, r_name, case when r_regionkey=4 then '' else 'd20' end, case when r_regionkey=3 then 's99' else 's'||r_regionkey end]) v, true s from region
@@ -56,14 +49,8 @@ _FIELD_ROWS = """
    unnest(['d'||doc_id, ['geography','history','race','faction','culture','magic','religion','rumor'][substr(source,4)::int%8+1], text]), true from documents
  union all select 'w'||p, 'story_setup.yaml', unnest(['arcs','hooks']), unnest(['seq','seq']), false from (select distinct conv_id%5 p from conversations)
 """
-_REQUIRED_ROWS = ", ".join(f"('{t}','{k}')" for t, ks in _KEYS.items() for k in ks.split(","))
-_ALLOWED = (
-    "(k='type' and v not in ('indoor','outdoor','dungeon','urban','wilderness')) or "
-    "(k='category' and v not in ('geography','history','race','faction','culture','magic','religion')) or "
-    "(k='item_type' and v not in ('weapon','armor','shield','potion','scroll','key','consumable','misc')) or "
-    "(k='object_type' and v not in ('chest','door','trap','mechanism','decoration')) or "
-    "(k='rarity' and v not in ('common','uncommon','rare','legendary')) or (k='urgency' and v not in ('low','medium','high'))"
-)
+_REQUIRED_ROWS = ", ".join(f"('{t}','{k}')" for t, ks in REQUIRED.items() for k in ks)
+_ALLOWED = " or ".join(f"(k='{k}' and v not in ({', '.join(map(repr, vs))}))" for k, vs in ALLOWED.items())
 _BASE = f"""with f as ({_FIELD_ROWS}),
  d as (select distinct pack, rel, {_TYPE} et from f),
  req(et, k) as (values {_REQUIRED_ROWS}),
@@ -96,8 +83,6 @@ def classify_order(spark, sf):
         F.concat(F.lit("items/"), "p_name", F.lit("_"), k, F.lit(".yaml")),
         *[F.concat(F.lit(p), k, F.lit(".yaml")) for p in ("actors/explore_", "items/metal_", "scene_objects/scenes_", "props/")],
     )
-    from packloom.operators.classify import classify
-
     return classify(T.table(spark, sf, "part").select(F.explode(rels).alias("rel"))).select("rel", "entity_type")
 
 
@@ -149,7 +134,7 @@ def crossref_global_pool(spark, sf):
     own = F.regexp_extract("rel", r"o(\d+)\.yaml", 1).cast("bigint")
     value = F.concat(F.lit("o"), (own + (own % 2) * 5_000_000_000).cast("string"))
     changed = F.transform("fields", lambda f: F.when(f["key"] == "scene_id", f.withField("value", value)).otherwise(f))
-    return R.orphans(docs.withColumn("fields", changed)).select("path", "message")
+    return R.orphans(docs.drop("id_key", "refs").withColumn("fields", changed)).select("path", "message")
 
 
 @query(_BASE + "select pack, 0 stage, message from own union all select pack, 1, message from orphan")
@@ -167,26 +152,24 @@ def pack_summary(spark, sf):
     return summary.pack_summary(T.docs(spark, sf))
 
 
-@query(_BASE + """, lines as (select pack, string_agg('  '||message, chr(10) order by '  '||message)||chr(10) l
-   from (select pack, message from own where rel like '%meta%' or rel like 'scenes%' union all select pack, message from orphan where path like '%meta%') group by 1)
- select pack, coalesce(l,'')||repeat('-',50)||chr(10)||passed||' passed, '||failed||' failed' report from summ left join lines using (pack)""")
-def pack_report(spark, sf):
-    """Reports listing the errors of metas and scenes, with the counts of all."""
-    docs = T.docs(spark, sf)
-    few = T.entity_docs(spark, sf, "region").unionByName(T.entity_docs(spark, sf, "nation"))
-    errors = summary.all_errors(few)
-    return summary.reports(errors, summary.pack_summary(docs))
+_LINES = """select pack, 0 part, '  '||message line from own union all select pack, 1, '  '||message from orphan
+ union all select pack, 2, repeat('-',50) from summ union all select pack, 3, passed||' passed, '||failed||' failed' from summ"""
 
 
-@query(_BASE + """select pack, 0 part, '  '||message line from (select pack, message from own union all select pack, message from orphan)
- union all select pack, 1, repeat('-',50) from summ union all select pack, 2, passed||' passed, '||failed||' failed' from summ""")
-def pack_report_rows(spark, sf):
-    """The lines of all reports, with the errors of all tables."""
+@query(_BASE + _LINES)
+def pack_report(spark, sf):
+    """All reports line by line, errors of single documents first; sorted by part and line, a pack's rows are its report."""
     docs = T.docs(spark, sf)
     errors = summary.all_errors(docs)
     return summary.report_rows(errors, summary.pack_summary(docs, errors))
 
 
+@query(_BASE + f"select pack, greatest(part - 1, 0)::int part, line from ({_LINES})")
+def pack_report_rows(spark, sf):
+    """The same lines in three parts: errors, the rule, the counts."""
+    return pack_report(spark, sf).withColumn("part", F.greatest(F.col("part") - 1, F.lit(0)))
+
+
 _PRESET = """with o as (select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_orderkey)-1 pos from orders),
  e as (select 'p'||c_custkey pack, 'meta' entity_type, 0 pos, 'p'||c_custkey id, 'meta.yaml' rel from customer
  union all select 'p'||c_custkey, 'story_setup', 0, null, 'story_setup.yaml' from customer
@@ -210,6 +193,38 @@ def limited_entities(spark, sf):
     return G.limit_entities(G.expand(T.presets(spark, sf)), {"scene_objects": 3}).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
+@query("""with o as (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey)-1 pos, count(*) over (partition by o_custkey) n,
+  count(*) filter (where o_orderkey%3=0) over (partition by o_custkey order by o_orderkey) d from orders join customer on c_custkey=o_custkey)
+ select 'p'||o_custkey pack, pos::int pos, case when o_orderkey%3<>0 then 'o'||o_orderkey else 'scene_objects_'||(n+d-1) end id from o""")
+def default_ids_rerun(spark, sf):
+    """A second run over the first one's files: explicit names are there already, default ones count on."""
+    presets = T.presets(spark, sf)
+    there = G.existing_names(G.expand(presets).select("pack", "rel"))
+    return G.expand(presets, there).filter("entity_type = 'scene_objects'").select("pack", "pos", "id")
+
+
+@query("select 'p'||c_custkey as name from customer where c_nationkey%2=0")
+def preset_lookup(spark, sf):
+    wanted = T.table(spark, sf, "customer").filter("c_nationkey % 2 = 0").select(F.concat(F.lit("p"), F.col("c_custkey").cast("string")).alias("name"))
+    return G.pick_presets(T.presets(spark, sf), wanted).select("name")
+
+
+@query("""select 'w'||(doc_id%5) pack, ['geography','history','race','faction','culture','magic','religion','rumor'][substr(source,4)::int%8+1] category, count(*) n
+ from documents where substr(source,4)::int%8 in (1, 5) group by 1, 2""")
+def limited_categories(spark, sf):
+    lore = T.entity_docs(spark, sf, "documents").select("pack", "entity_type", F.lit(0).alias("pos"), "rel", F.to_json(F.struct(F.get_json_object("body", "$.category").alias("category"))).alias("body"))
+    kept = G.limit_entities(lore, categories=["history", "magic"])
+    return kept.groupBy("pack", F.get_json_object("body", "$.category").alias("category")).agg(F.count("*").alias("n"))
+
+
+@query(_PRESET + "select entity_type, count(*) n from e group by 1")
+def entity_table(spark, sf):
+    """Expanded presets written as a table, partitioned by type, and read again."""
+    path = new_path(spark, "entities")
+    G.write_entities(G.expand(T.presets(spark, sf)), path)
+    return spark.read.parquet(path).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
 @query("""select 'items/'||l_partkey||'.yaml' rel, max_by(l_orderkey, l_orderkey*10+l_linenumber) as value from lineitem group by 1""")
 def last_write_wins(spark, sf):
     """Every order line writes its part; the last line's file stays."""
@@ -254,56 +269,169 @@ for _name, _kind, _cols in (
     _typed(_name, _kind, _cols, _WIDE + ", ".join(f"max(v) filter (where k='{x}') as {x}" for x in _cols) + f" from f where {_TYPE}='{_kind}' group by pack, rel")
 
 
-def _tables(spark, sf):
-    story = L.sound(L.load_typed(T.story_bodies(spark, sf), "story_setup"))
-    scenes = L.sound(L.load_typed(T.scene_bodies(spark, sf), "scenes"))
-    loot = L.sound(L.load_typed(T.loot_bodies(spark, sf), "scene_objects"))
-    rest = {k: L.sound(L.load_typed(T.entity_docs(spark, sf, n), k)) for n, k in (("region", "meta"), ("documents", "lore"), ("customer", "player_characters"), ("supplier", "actors"), ("part", "items"))}
-    return rest | {"story_setup": story, "scenes": scenes, "scene_objects": loot}
+def _tables(spark, sf, *kinds):
+    return {kind: T.typed(spark, sf, kind) for kind in kinds or ENTITY_DDL}
 
 
 @query("select 'w'||(conv_id%5) pack, case role when 'system' then 'high' when 'assistant' then 'medium' else 'low' end urgency, text description from conversations")
 def story_hooks(spark, sf):
-    return L.child_tables(_tables(spark, sf))["story_hooks"].select("pack", "urgency", "description")
+    return L.child_tables(_tables(spark, sf, "story_setup"))["story_hooks"].select("pack", "urgency", "description")
 
 
 @query("select 'w'||(conv_id%5) pack, 'main' \"type\", 'conversation '||conv_id title from conversations where turn=0")
 def story_arcs(spark, sf):
-    return L.child_tables(_tables(spark, sf))["story_arcs"].select("pack", "type", "title")
+    return L.child_tables(_tables(spark, sf, "story_setup"))["story_arcs"].select("pack", "type", "title")
 
 
 @query("""select 'w'||(n_nationkey%5) pack, 's'||n_nationkey owner_id, 's'||((n_nationkey+5)%25) target_scene, '' condition from nation
  union all select 'w'||(n_nationkey%5), 's'||n_nationkey, case when n_nationkey%7=0 then 's77' else 's'||((n_nationkey+10)%25) end, 'locked' from nation""")
 def scene_exits(spark, sf):
-    return L.child_tables(_tables(spark, sf))["scene_exits"].select("pack", "owner_id", "target_scene", "condition")
+    return L.child_tables(_tables(spark, sf, "scenes"))["scene_exits"].select("pack", "owner_id", "target_scene", "condition")
 
 
 @query("select 'w'||(l_orderkey%5) pack, 'o'||l_orderkey||'_'||l_linenumber owner_id, 'i'||l_partkey item_id, l_quantity::int qty from lineitem")
 def loot_lines(spark, sf):
-    return L.child_tables(_tables(spark, sf))["loot_lines"].select("pack", "owner_id", "item_id", "qty")
+    return L.child_tables(_tables(spark, sf, "scene_objects"))["loot_lines"].select("pack", "owner_id", "item_id", "qty")
+
+
+_LINE_SQL = {
+    "inventory_lines": """select 'w'||(s_nationkey%5) pack, 'actors' owner_type, 'a'||s_suppkey owner_id, 'i'||(s_suppkey*10+s_nationkey%5) item_id, 3 qty from supplier
+ union all select 'w'||(c_nationkey%5), 'player_characters', 'c'||c_custkey, 'i'||(c_custkey*5+c_nationkey%5), (c_custkey%3+1)::int from customer""",
+    "shop_lines": """select 'w'||(s_nationkey%5) pack, 'actors' owner_type, 'a'||s_suppkey owner_id, 'i'||(s_suppkey*5+s_nationkey%5) item_id, 1 qty from supplier
+ union all select 'w'||(s_nationkey%5), 'actors', 'a'||s_suppkey, 'i'||s_suppkey, 2 from supplier""",
+}
 
 
-@query("""with items as (select 'w'||(p_partkey%5) pack, 'i'||p_partkey id from part), scenes as (select 'w'||(n_nationkey%5) pack, 's'||n_nationkey id from nation),
- r as (select 'w'||(l_orderkey%5) pack, 'loot_item' as rule, 'i'||l_partkey id from lineitem
-  union all select 'w'||(l_orderkey%5), 'object_scene', 's'||(l_orderkey%30) from lineitem
-  union all select 'w'||r_regionkey, 'starting_scene', case when r_regionkey=3 then 's99' else 's'||r_regionkey end from region
-  union all select 'w'||(n_nationkey%5), 'exit_target', 's'||((n_nationkey+5)%25) from nation
-  union all select 'w'||(n_nationkey%5), 'exit_target', case when n_nationkey%7=0 then 's77' else 's'||((n_nationkey+10)%25) end from nation)
- select rule, count(*) n from r where case when rule='loot_item' then (pack,id) not in (select (pack,id) from items) else (pack,id) not in (select (pack,id) from scenes) end group by 1""")
+def _parsed(spark, sf, *kinds):
+    """Typed tables by way of documents and their JSON."""
+    return {kind: L.sound(L.load_typed(T.nested_docs(spark, sf, kind), kind)) for kind in kinds}
+
+
+@query(_LINE_SQL["inventory_lines"])
+def inventory_lines(spark, sf):
+    return L.child_tables(_parsed(spark, sf, "actors", "player_characters"))["inventory_lines"].drop("pos")
+
+
+@query(_LINE_SQL["shop_lines"])
+def shop_lines(spark, sf):
+    return L.child_tables(_parsed(spark, sf, "actors"))["shop_lines"].drop("pos")
+
+
+@query("select 'w'||(n_nationkey%5) pack, 's'||n_nationkey owner_id, 'm'||n_nationkey id, 'Stone of '||n_name as name from nation")
+def scene_landmarks(spark, sf):
+    return L.child_tables(_parsed(spark, sf, "scenes"))["scene_landmarks"].select("pack", "owner_id", "id", "name")
+
+
+@query("""select 'w'||(conv_id%5) pack, 'story_setup/v'||conv_id||'_'||turn||'.yaml' rel, case when turn=0 then 1 else 0 end n_arcs, 1 n_hooks,
+ case when turn=0 then 'conversation '||conv_id end title, case role when 'system' then 'high' when 'assistant' then 'medium' else 'low' end urgency from conversations""")
+def typed_story_setup(spark, sf):
+    story = _parsed(spark, sf, "story_setup")["story_setup"]
+    n_arcs = F.coalesce(F.size("arcs"), F.lit(0))
+    return story.select("pack", "rel", F.greatest(n_arcs, F.lit(0)).alias("n_arcs"), F.size("hooks").alias("n_hooks"), F.get("arcs", F.lit(0))["title"].alias("title"), F.get("hooks", F.lit(0))["urgency"].alias("urgency"))
+
+
+@query(f"""with items as (select 'w'||(p_partkey%5) pack, 'i'||p_partkey id from part), scenes as (select 'w'||(n_nationkey%5) pack, 's'||n_nationkey id from nation),
+ cast_ as (select 'w'||(c_nationkey%5) pack, 'c'||c_custkey id from customer), lore as (select 'w'||(doc_id%5) pack, 'd'||doc_id id from documents),
+ t as (select 'items' tt, pack, id from items union all select 'scenes', pack, id from scenes union all select 'cast', pack, id from cast_
+  union all select 'any', pack, id from scenes union all select 'any', pack, id from lore),
+ r as (select 'w'||(l_orderkey%5) pack, 'loot_item' as rule, 'items' tt, 'i'||l_partkey id from lineitem
+  union all select 'w'||(l_orderkey%5), 'object_scene', 'scenes', 's'||(l_orderkey%30) from lineitem
+  union all select 'w'||r_regionkey, 'starting_scene', 'scenes', case when r_regionkey=3 then 's99' else 's'||r_regionkey end from region
+  union all select 'w'||(n_nationkey%5), 'exit_target', 'scenes', 's'||((n_nationkey+5)%25) from nation
+  union all select 'w'||(n_nationkey%5), 'exit_target', 'scenes', case when n_nationkey%7=0 then 's77' else 's'||((n_nationkey+10)%25) end from nation
+  union all select 'w'||(doc_id%5), 'lore_reference', 'any', 's'||(doc_id%30) from documents
+  union all select 'w'||(doc_id%5), 'lore_reference', 'any', 'd'||doc_id from documents
+  union all select pack, 'inventory_item', 'items', item_id from ({_LINE_SQL["inventory_lines"]})
+  union all select pack, 'shop_item', 'items', item_id from ({_LINE_SQL["shop_lines"]})
+  union all select 'w'||(c_nationkey%5), 'equipment_item', 'items', unnest(['i'||c_custkey, case when c_custkey%2=0 then 'i'||(c_custkey+5) else '' end]) from customer
+  union all select 'w'||(s_nationkey%5), 'equipment_item', 'items', unnest(['i'||s_suppkey, case when s_suppkey%2=0 then 'i'||(s_suppkey+5) else '' end]) from supplier
+  union all select 'w'||(conv_id%5), 'arc_cast', 'cast', 'c'||conv_id from conversations where turn=0)
+ select r.pack, r.rule, count(*) n from r left join t on t.tt=r.tt and t.pack=r.pack and t.id=r.id where t.id is null and r.id<>'' group by 1, 2""")
 def strict_refs(spark, sf):
     """Optional typed references over all tables; never part of a verdict."""
     tables = _tables(spark, sf)
-    targets = None
-    for kind in ("scenes", "items", "player_characters"):
-        rows = tables[kind].select("pack", F.lit(kind).alias("entity_type"), "id")
-        targets = rows if targets is None else targets.unionByName(rows)
-    return R.strict_orphans(R.declared_refs(tables), targets).groupBy("rule").agg(F.count("*").alias("n"))
+    return R.strict_orphans(R.declared_refs(tables), R.ids_of(tables)).groupBy("pack", "rule").agg(F.count("*").alias("n"))
+
+
+@query("""select 'w'||(conv_id%5) pack, 'hook_urgency' as rule, role as value, count(*) n from conversations where role<>'' group by 1, 3
+ union all select 'w'||(conv_id%5), 'arc_type', 'detour', count(*) from conversations where turn=0 and conv_id%3=2 group by 1""")
+def nested_domains(spark, sf):
+    """Urgencies that are roles, and a third of the arcs of an unknown type."""
+    turns = T.table(spark, sf, "conversations")
+    kind = F.element_at(F.array(F.lit("main"), F.lit("side"), F.lit("detour")), (F.col("conv_id") % 3 + 1).cast("int"))
+    arcs, hooks = F.when(F.col("turn") == 0, F.array(F.struct(kind.alias("type")))), F.array(F.struct(F.col("role").alias("urgency")))
+    story = turns.select(F.concat(F.lit("w"), (F.col("conv_id") % 5).cast("string")).alias("pack"), arcs.alias("arcs"), hooks.alias("hooks"))
+    return R.nested_domains(story).groupBy("pack", "rule", "value").agg(F.count("*").alias("n"))
+
+
+@query(_BASE + "select pack||'/'||rel path, rel from d")
+def relative_paths(spark, sf):
+    return with_rel(T.docs(spark, sf).select("root", "path")).select("path", "rel")
+
+
+@query(_BASE + "select pack, k \"key\", count(*) n from f group by 1, 2")
+def top_entries(spark, sf):
+    """How often each top-level key occurs."""
+    return rules.fields_table(T.docs(spark, sf)).groupBy("pack", "key").agg(F.count("*").alias("n"))
+
+
+@query("""select 'w'||(o_orderkey%5) pack, case o_orderkey%10 when 3 then 'not_mapping' else 'decode_error' end status, count(*) n from orders where o_orderkey%10 in (3, 4) group by 1, 2""")
+def rejected_documents(spark, sf):
+    """Orders of which one in five can't be read as a mapping."""
+    docs = T.entity_docs(spark, sf, "orders")
+    last = F.substring("rel", -6, 1)
+    status = F.when(last == "3", "not_mapping").when(last == "4", "decode_error").otherwise("ok")
+    return rules.rejects(docs.withColumn("parse_status", status)).groupBy("pack", F.col("parse_status").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query("""with t as (select 'w'||(p_partkey%5) pack, 'items' as "table", p_partkey k, 1 n from part
+  union all select 'w'||(l_orderkey%5), 'scene_objects', l_orderkey, 1 from lineitem union all select 'w'||(l_orderkey%5), 'loot_lines', l_orderkey, 1 from lineitem)
+ select "table", pack, count(*) n from t where pack not in ('w1', 'w3') or "table" <> 'loot_lines' and k%2=0 group by 1, 2""")
+def replace_by_pack(spark, sf):
+    """Two loads: all packs, then w1 and w3 anew with every other entity and without any loot."""
+    path = new_path(spark, "loaded")
+    tables = _tables(spark, sf, "items", "scene_objects")
+    tables |= {"loot_lines": L.child_tables(tables)["loot_lines"]}
+    packs = tables["items"].select("pack").distinct()
+    L.load_packs(tables, packs, path)
+    even = F.regexp_extract("id", r"^[io](\d+)", 1).cast("bigint") % 2 == 0
+    again = {"items": tables["items"].filter(even), "scene_objects": tables["scene_objects"].filter(even), "loot_lines": tables["loot_lines"].limit(0)}
+    L.load_packs(again, packs.filter("pack in ('w1', 'w3')"), path)
+    out = None
+    for name, df in tables.items():
+        n = L.read_table(spark, path, name, df.schema).groupBy("pack").agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "pack", "n")
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
+@query("""with d as (select 'player_characters' kind, c_acctbal >= 0 ok from customer union all select 'actors', s_acctbal >= 0 from supplier)
+ select kind, count(*) n from d where ok group by 1""")
+def gated_load(spark, sf):
+    """Validate, gate and load in one: every customer and supplier as a pack of its own, of which the valid ones are loaded."""
+    docs = T.entity_docs(spark, sf, "customer").unionByName(T.entity_docs(spark, sf, "supplier"))
+    own = F.concat_ws("/", "pack", "rel")
+    v = V.validate(docs.withColumn("pack", own))
+    tables = L.typed_tables(L.gate(v.docs, v.summary))
+    kinds = [tables[k].select(F.lit(k).alias("kind"), "id") for k in ("player_characters", "actors")]
+    return kinds[0].unionByName(kinds[1]).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""select 'meta' entity_type, 'ok' parse_status, count(*) n, count(*) filter (where r_name<>'') named from region
+ union all select 'scenes', 'ok', count(*), count(*) from nation union all select 'actors', 'ok', count(*), count(*) from supplier""")
+def ingest_roundtrip(spark, sf):
+    """Packs written as YAML trees, scanned and decoded again (regions, nations and suppliers, to limit small files)."""
+    out = new_path(spark, "trees").removeprefix("file:")
+    entities = [T.entity_docs(spark, sf, n).select("pack", "rel", "body") for n in ("region", "nation", "supplier")]
+    write_packs(entities[0].unionByName(entities[1]).unionByName(entities[2]), out)
+    docs = V.read_packs(spark, out)
+    named = F.count_if(F.exists("fields", lambda f: (f["key"] == "name") & (f["value"] != "")))
+    return docs.groupBy("entity_type", "parse_status").agg(F.count("*").alias("n"), named.alias("named"))
 
 
 @query("""select 'lore' kind, 'd'||doc_id id, length(text)::bigint n_chars from documents
  union all select 'scenes', 's'||n_nationkey, length('The land of '||n_name) from nation""")
 def corpus_rows(spark, sf):
-    return L.corpus(_tables(spark, sf)).select("kind", "id", F.length("text").cast("bigint").alias("n_chars"))
+    return L.corpus(_tables(spark, sf, "lore", "scenes")).select("kind", "id", F.length("text").cast("bigint").alias("n_chars"))
 
 
 @query()
@@ -311,6 +439,6 @@ def corpus_vectors(spark, sf):
     """Corpus rows with their vector's number of non-zero entries (no SQL form; tested for unit length and equality)."""
     from pyspark.ml.functions import vector_to_array
 
-    vectors = L.vectorise(L.corpus(_tables(spark, sf)))
+    vectors = L.vectorise(L.corpus(_tables(spark, sf, "lore", "scenes")))
     entries = F.size(F.filter(vector_to_array("vector"), lambda x: x != 0))
     return vectors.select("kind", "id", entries.cast("bigint").alias("n_entries"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packloom.functions.fields import entity_type, field_sql
+from packloom.operators.refs import REF_KEYS
 from packloom.schemas import FIELD
 
 c, lit = F.col, F.lit
@@ -108,18 +109,32 @@ def spec() -> dict[str, tuple[str, str, list[tuple[str, str, str]]]]:
     }
 
 
-def _doc(df: DataFrame, pack: Column, rel: Column, fields: Column, body: Column) -> DataFrame:
-    out = df.select(pack.alias("pack"), pack.alias("root"), F.concat_ws("/", pack, rel).alias("path"), rel.alias("rel"), fields.alias("fields"), body.alias("body"))
-    out = out.withColumn("entity_type", entity_type(c("rel"))).withColumn("parse_status", lit("ok"))
-    return out.select("pack", "root", "path", "rel", "entity_type", "parse_status", c("fields").cast(f"array<{FIELD}>").alias("fields"), "body")
+def _doc(df: DataFrame, pack: Column, rel: Column, fields: Column, body: Column, id_key: Column | None = None, refs: Column | None = None) -> DataFrame:
+    none = lit(None).cast("string")
+    out = df.select(
+        pack.alias("pack"),
+        pack.alias("root"),
+        F.concat_ws("/", pack, rel).alias("path"),
+        rel.alias("rel"),
+        entity_type(rel).alias("entity_type"),
+        lit("ok").alias("parse_status"),
+        fields.cast(f"array<{FIELD}>").alias("fields"),
+        body.alias("body"),
+        (none if id_key is None else id_key).alias("id_key"),
+        (F.array() if refs is None else refs).cast("array<struct<field:string,value:string,key:string>>").alias("refs"),
+    )
+    return out
 
 
 def entity_docs(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Documents of one table; ``body`` costs nothing where it isn't read."""
+    """Documents of one table.  What isn't read costs nothing: ids and references come from key columns alone."""
     pack, rel, fields = spec()[name]
     entries = ", ".join(field_sql(i, k, v, kind) for i, (k, v, kind) in enumerate(fields))
     pairs = ", ".join(f"'{k}', {v}" for k, v, _ in fields)
-    return _doc(table(spark, sf_dir, name), F.expr(pack), F.expr(rel), F.expr(f"array({entries})"), F.expr(f"to_json(named_struct({pairs}))"))
+    named = [f"if({v} <> '', named_struct('field', '{k}', 'value', {v}, 'key', concat('s:', {v})), null)" for k, v, _ in fields if k in REF_KEYS]
+    refs = F.expr(f"array_compact(array({', '.join(named)}))") if named else None
+    key = F.expr(f"concat('s:', {dict((k, v) for k, v, _ in fields)['id']})")
+    return _doc(table(spark, sf_dir, name), F.expr(pack), F.expr(rel), F.expr(f"array({entries})"), F.expr(f"to_json(named_struct({pairs}))"), key, refs)
 
 
 def story_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,43 +152,73 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def story_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stories for the typed load, one document per turn: a hook each, and an arc with a conversation's first turn."""
-    conv = table(spark, sf_dir, "conversations")
-    urgency = F.when(c("role") == "system", "high").when(c("role") == "assistant", "medium").otherwise("low")
-    hook = F.array(F.struct(c("text").alias("description"), urgency.alias("urgency")))
-    arc = F.array(F.struct(lit("main").alias("type"), cat("conversation ", c("conv_id")).alias("title"), lit("hook").alias("stage")))
-    body = F.to_json(F.struct(F.when(c("turn") == 0, arc).alias("arcs"), hook.alias("hooks")))
-    rel = cat("story_setup/v", c("conv_id"), "_", c("turn"), ".yaml")
-    none = F.array().cast(f"array<{FIELD}>")
-    return _doc(conv, cat("w", c("conv_id") % 5), rel, none, body)
-
-
-def scene_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scenes with two exits each, to the next scenes of the pack; every seventh leads to a scene that isn't there."""
-    nation = table(spark, sf_dir, "nation")
-    key = c("n_nationkey")
-    exits = F.array(
-        F.struct(cat("s", (key + 5) % 25).alias("target_scene"), lit("").alias("condition")),
-        F.struct(F.when(key % 7 == 0, "s77").otherwise(cat("s", (key + 10) % 25)).alias("target_scene"), lit("locked").alias("condition")),
-    )
-    body = F.to_json(F.struct(cat("s", key).alias("id"), c("n_name").alias("name"), cat("The land of ", c("n_name")).alias("description"), exits.alias("exits")))
-    return _doc(nation, cat("w", key % 5), cat("scenes/s", key, ".yaml"), F.array().cast(f"array<{FIELD}>"), body)
-
-
-def loot_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as loot: one scene object document per line, holding the part as an item of the line's pack."""
-    li = table(spark, sf_dir, "lineitem")
-    loot = F.array(F.struct(cat("i", c("l_partkey")).alias("item_id"), c("l_quantity").cast("int").alias("qty")))
-    body = F.to_json(
-        F.struct(
-            cat("o", c("l_orderkey"), "_", c("l_linenumber")).alias("id"),
-            cat("s", c("l_orderkey") % 30).alias("scene_id"),
-            F.struct(lit(10).alias("dc"), loot.alias("loot_table")).alias("interact_data"),
-        )
-    )
-    rel = cat("scene_objects/o", c("l_orderkey"), "_", c("l_linenumber"), ".yaml")
-    return _doc(li, cat("w", c("l_orderkey") % 5), rel, F.array().cast(f"array<{FIELD}>"), body)
+def nested() -> dict[str, tuple[str, str, str, str]]:
+    """Per type: table, pack, path within the pack and SQL of the typed columns, with the nested parts that the schemas have.
+
+    Scenes have two exits, to the next scenes of the pack (every seventh leads to a scene
+    that isn't there), and a landmark.  Order lines are loot: a scene object each.  Stories
+    come by turn: a hook each, and an arc with a conversation's first turn.
+    """
+    line = "named_struct('item_id', concat('i', {0}), 'qty', cast({1} as int))"
+    slots = "named_struct('weapon', concat('i', {0}), 'armor', if({0} % 2 = 0, concat('i', {0} + 5), ''))"
+    return {
+        "meta": ("region", "concat('w', r_regionkey)", "'meta.yaml'", "concat('w', r_regionkey) id, r_name name, if(r_regionkey = 4, '', 'd20') ruleset, if(r_regionkey = 3, 's99', concat('s', r_regionkey)) starting_scene"),
+        "lore": ("documents", "concat('w', doc_id % 5)", "concat('lore/d', doc_id, '.yaml')", f"concat('d', doc_id) id, {choose(CATEGORIES, 'cast(substring(source, 4, 9) as int) % 8')} category, text content, array(concat('s', doc_id % 30), concat('d', doc_id)) references"),
+        "scenes": (
+            "nation",
+            "concat('w', n_nationkey % 5)",
+            "concat('scenes/s', n_nationkey, '.yaml')",
+            "concat('s', n_nationkey) id, n_name name, cast(null as string) type, concat('The land of ', n_name) description, array(named_struct('target_scene', concat('s', (n_nationkey + 5) % 25), 'condition', ''),"
+            " named_struct('target_scene', if(n_nationkey % 7 = 0, 's77', concat('s', (n_nationkey + 10) % 25)), 'condition', 'locked')) exits, array(named_struct('id', concat('m', n_nationkey), 'name', concat('Stone of ', n_name), 'desc', 'A stone')) landmarks",
+        ),
+        "player_characters": ("customer", "concat('w', c_nationkey % 5)", "concat('player_characters/c', c_custkey, '.yaml')", f"concat('c', c_custkey) id, c_name name, {slots.format('c_custkey')} equipment, array({line.format('(c_custkey * 5 + c_nationkey % 5)', 'c_custkey % 3 + 1')}) inventory"),
+        "actors": (
+            "supplier",
+            "concat('w', s_nationkey % 5)",
+            "concat('actors/a', s_suppkey, '.yaml')",
+            f"concat('a', s_suppkey) id, s_name name, named_struct('merchant', named_struct('gold', 10, 'shop_inventory', array({line.format('(s_suppkey * 5 + s_nationkey % 5)', '1')}, {line.format('s_suppkey', '2')}))) function_data,"
+            f" {slots.format('s_suppkey')} equipment, array({line.format('(s_suppkey * 10 + s_nationkey % 5)', '3')}) inventory",
+        ),
+        "items": ("part", "concat('w', p_partkey % 5)", "concat('items/i', p_partkey, '.yaml')", "concat('i', p_partkey) id, p_name name"),
+        "scene_objects": (
+            "lineitem",
+            "concat('w', l_orderkey % 5)",
+            "concat('scene_objects/o', l_orderkey, '_', l_linenumber, '.yaml')",
+            f"concat('o', l_orderkey, '_', l_linenumber) id, concat('s', l_orderkey % 30) scene_id, named_struct('dc', 10, 'loot_table', array({line.format('l_partkey', 'l_quantity')})) interact_data",
+        ),
+        "story_setup": (
+            "conversations",
+            "concat('w', conv_id % 5)",
+            "concat('story_setup/v', conv_id, '_', turn, '.yaml')",
+            "if(turn = 0, array(named_struct('type', 'main', 'title', concat('conversation ', conv_id), 'stage', 'hook', 'main_cast', array(concat('c', conv_id)))), null) arcs,"
+            " array(named_struct('description', text, 'urgency', case role when 'system' then 'high' when 'assistant' then 'medium' else 'low' end)) hooks",
+        ),
+    }
+
+
+def typed(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Entities of a type as typed columns after pack and rel, straight from the table."""
+    name, pack, rel, columns = nested()[kind]
+    return table(spark, sf_dir, name).selectExpr(f"{pack} pack", f"{rel} rel", *_split(columns))
+
+
+def nested_docs(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The same entities as documents, their columns as JSON in ``body``."""
+    rows = typed(spark, sf_dir, kind)
+    body = F.to_json(F.struct(*[x for x in rows.columns if x not in ("pack", "rel")]))
+    return _doc(rows, c("pack"), c("rel"), F.array(), body)
+
+
+def _split(columns: str) -> list[str]:
+    """The expressions of a comma-separated list, at commas outside brackets."""
+    out, depth = [""], 0
+    for ch in columns:
+        depth += (ch in "([") - (ch in ")]")
+        if ch == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += ch
+    return out
 
 
 def presets(spark: SparkSession, sf_dir: str) -> DataFrame:

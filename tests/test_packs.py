@@ -7,20 +7,21 @@ import yaml
 
 from packloom.operators import generate as G
 from packloom.operators import load as L
-from packloom.plans.validate import read_packs, validate_roots
+from packloom.plans.generate import builtin_presets, generate, preset_rows
+from packloom.plans.validate import load_valid, read_packs, validate, validate_roots
 from packloom.schemas import DOCS_DDL
 from packloom.sources.packtree import write_packs
 
-PC = {"id": "w", "name": "W", "role": "r", "race": "human", "personality": "p", "attributes": {"str": 1}}
-VALID = {
-    "meta.yaml": {"id": "t", "name": "T", "ruleset": "d20", "starting_scene": "s1"},
-    "lore/h.yaml": {"id": "h1", "category": "history", "content": "x"},
-    "scenes/t.yaml": {"id": "s1", "name": "T", "type": "indoor", "description": "d"},
-    "player_characters/p.yaml": PC,
-    "actors/a.yaml": PC | {"id": "a"},
-    "items/s.yaml": {"id": "sword", "name": "S", "item_type": "weapon", "rarity": "common"},
-    "scene_objects/c.yaml": {"id": "c", "name": "C", "object_type": "chest", "scene_id": "s1"},
-    "story_setup.yaml": {"arcs": [{"title": "A"}], "hooks": [{"description": "H"}]},
+SCORES = {"str": 9, "dex": 14, "con": 10, "int": 12, "wis": 7, "cha": 11}
+SOUND = {
+    "meta.yaml": {"id": "fen", "name": "The Fen", "ruleset": "d20", "starting_scene": "causeway"},
+    "lore/reeds.yaml": {"id": "reeds", "category": "geography", "content": "Reeds as far as one can see."},
+    "scenes/causeway.yaml": {"id": "causeway", "name": "Causeway", "type": "wilderness", "description": "Planks on mud."},
+    "player_characters/ilo.yaml": {"id": "ilo", "name": "Ilo", "role": "guide", "race": "elf", "personality": "dry", "attributes": SCORES},
+    "actors/toll.yaml": {"id": "toll", "name": "Toll keeper", "role": "guard", "race": "orc", "personality": "bored", "attributes": SCORES},
+    "items/pole.yaml": {"id": "pole", "name": "Pole", "item_type": "misc", "rarity": "uncommon"},
+    "scene_objects/gate.yaml": {"id": "gate", "name": "Gate", "object_type": "mechanism", "scene_id": "causeway"},
+    "story_setup.yaml": {"arcs": [{"title": "High water"}], "hooks": [{"description": "The toll has doubled."}]},
 }
 
 
@@ -41,10 +42,10 @@ def run(spark, root):
 @pytest.mark.parametrize(
     "files, passed, failed, words",
     [
-        (VALID, 8, 0, []),
-        ({"scenes/t.yaml": {"name": "T", "type": "indoor"}}, 0, 1, ["missing: description", "missing: id"]),
-        ({"scenes/t.yaml": {"id": "t", "name": "T", "type": "space", "description": "x"}}, 0, 1, ["invalid type: 'space'"]),
-        ({"meta.yaml": {"id": "t", "name": "T", "ruleset": "d20", "starting_scene": "void"}}, 1, 1, ["starting_scene 'void' not found"]),
+        (SOUND, 8, 0, []),
+        ({"scenes/mill.yaml": {"name": "Mill", "type": "dungeon"}}, 0, 1, ["missing: description", "missing: id"]),
+        ({"scenes/mill.yaml": {"id": "mill", "name": "Mill", "type": "attic", "description": "Flour."}}, 0, 1, ["invalid type: 'attic'"]),
+        ({"meta.yaml": {"id": "fen", "name": "The Fen", "ruleset": "d20", "starting_scene": "ferry"}}, 1, 1, ["starting_scene 'ferry' not found"]),
         ({}, 0, 0, []),
         ({"scenes/e.yaml": b""}, 0, 1, ["description", "id", "name", "type"]),
         ({"_dir/.hidden.yaml": {"a": 1}, "notes.yml": {"a": 1}}, 1, 0, []),
@@ -71,25 +72,97 @@ def test_report_and_missing_root(spark, tmp_path):
     assert run(spark, tmp_path / "nowhere")[:3] == (0, 0, True)
 
 
-def test_report_rows_are_the_reports(spark, tmp_path):
+def test_reports_put_errors_of_documents_first(spark, tmp_path):
     from packloom.operators import summary
 
-    bad = {"items/x.yaml": {"id": "x", "name": "n"}, "lore/h.yaml": {"id": "h1", "category": "rumor"}, "scene_objects/c.yaml": {"id": "c", "name": "C", "object_type": "chest", "scene_id": "void"}}
-    roots = [put(tmp_path / "p", VALID | bad), put(tmp_path / "q", VALID)]
+    bad = {"items/x.yaml": {"id": "x", "name": "n"}, "lore/w.yaml": {"id": "w", "category": "rumor"}, "scene_objects/gate.yaml": {"id": "gate", "name": "G", "object_type": "door", "scene_id": "ferry"}}
+    roots = [put(tmp_path / "p", SOUND | bad), put(tmp_path / "q", SOUND)]
     v = validate_roots(spark, roots)
-    rows = summary.report_rows(v.errors.unionByName(v.errors), v.summary).orderBy("pack", "part", "line").collect()
-    assert "\n".join(r.line for r in rows if r.pack == roots[1]) == v.report(roots[1])
-    want = v.report(roots[0]).split("\n")
-    assert [r.line for r in rows if r.pack == roots[0]] == sorted(2 * want[:-2]) + want[-2:] and len(want) == 6
+    assert v.report(roots[1]) == "-" * 50 + "\n8 passed, 0 failed"
+    lines = v.report(roots[0]).split("\n")
+    assert lines == ["  items/x.yaml missing: item_type", "  lore/w.yaml invalid category: 'rumor'", "  lore/w.yaml missing: content", f"  [cross-ref] {roots[0]}/scene_objects/gate.yaml: scene_id 'ferry' not found", "-" * 50, "8 passed, 3 failed"]
+    twice = summary.report_rows(v.errors.unionByName(v.errors), v.summary).filter(f"pack = '{roots[0]}'")
+    assert twice.count() == 2 * 4 + 2
 
 
-def test_report_rows_cover_every_table(spark):
+def test_report_covers_every_table(spark):
     from packloom.plans.queries import Q
 
-    rows = Q["pack_report_rows"](spark, "/root/testdata/sf0.001")
+    rows = Q["pack_report"](spark, "/root/testdata/sf0.001")
     kinds = {r.line.split("/")[0] for r in rows.filter("part = 0").collect()}
     assert {"  lore", "  player_characters", "  items", "  scene_objects"} <= kinds
-    assert rows.filter("part = 0").count() == Q["all_errors"](spark, "/root/testdata/sf0.001").count()
+    assert rows.filter("part < 2").count() == Q["all_errors"](spark, "/root/testdata/sf0.001").count()
+
+
+def by_hand(files, root):
+    """The rules in plain Python, one document after another."""
+    from packloom.schemas import ALLOWED, REQUIRED
+
+    passed, failed, errors, cross = 0, 0, [], set()
+    loaded = {rel: yaml.safe_load(yaml.dump(v)) or {} for rel, v in files.items()}
+    for rel, doc in loaded.items():
+        kind = next((t for t in REQUIRED if t in rel), None)
+        own = [f"{rel} missing: {k}" for k in REQUIRED.get(kind, []) if doc.get(k) in (None, "")] if kind else []
+        own += [f"{rel} invalid {k}: '{v}'" for k, v in doc.items() if kind and isinstance(v, str) and v and v not in ALLOWED.get(k, [v])]
+        passed, failed, errors = passed + (not own), failed + bool(own), errors + own
+    ids = {d.get("id") for d in loaded.values()}
+    for rel, doc in loaded.items():
+        for k in ("scene_id", "starting_scene"):
+            if doc.get(k) and doc[k] not in ids and (k == "scene_id" or "meta" in f"{root}/{rel}"):
+                errors.append(f"[cross-ref] {root}/{rel}: {k} '{doc[k]}' not found")
+                cross.add(errors[-1].split(":")[0])
+    return passed, failed + len(cross), sorted(errors)
+
+
+def test_random_packs_against_plain_rules(spark, tmp_path):
+    import random
+
+    rng = random.Random(4)
+    folders = ["meta", "lore", "scenes", "player_characters", "actors", "items", "scene_objects", "props", "story_setup"]
+    values = {"id": ["a", "b", 1, 1.0, True, "1", "", None], "type": ["indoor", "attic", 3, ""], "category": ["magic", "gossip"], "rarity": ["rare", "odd"], "scene_id": ["a", "z", 1, 0, "", None], "starting_scene": ["b", "y", 2], "name": ["n", "", None, []], "item_type": ["key", "kay"]}
+    packs = {}
+    for k in range(12):
+        files = {}
+        for i in range(rng.randrange(12)):
+            keys = rng.sample(list(values), rng.randrange(len(values) + 1))
+            files[f"{rng.choice(folders)}/{rng.choice(['e', 'metal', 'x y', 'lorenzo'])}{i}.yaml"] = {x: rng.choice(values[x]) for x in keys}
+        packs[put(tmp_path / f"k{k}", files)] = files
+        (tmp_path / f"k{k}").mkdir(exist_ok=True)
+    v = validate_roots(spark, list(packs))
+    got = {r.pack: (r.passed, r.failed) for r in v.summary.collect()}
+    said = {root: sorted(r.message for r in v.errors.collect() if r.pack == root) for root in packs}
+    for root, files in packs.items():
+        passed, failed, errors = by_hand(files, root)
+        assert (got[root], said[root]) == ((passed, failed), errors)
+    again = validate(v.docs.repartition(7, "rel"), list(packs))
+    assert {r.pack: (r.passed, r.failed) for r in again.summary.collect()} == got
+
+
+@pytest.mark.parametrize(
+    "folder, files, passed, failed, words",
+    [
+        ("metaverse", {"props/a.yaml": {"id": "a", "starting_scene": "q"}}, 1, 1, ["starting_scene 'q'"]),  # the root's name counts
+        ("a:b", {"scene_objects/a.yaml": {"id": "a", "name": "n", "object_type": "door", "scene_id": "q"}, "scene_objects/b.yaml": {"id": "b", "name": "n", "object_type": "door", "scene_id": "q"}}, 2, 1, ["'q'", "'q'"]),  # one prefix
+        ("p", {"items/metal.yaml": {"id": "m"}}, 0, 1, ["name", "ruleset", "starting_scene"]),  # first type in the name
+        ("p", {"scene_objects/a.yaml": {"id": "pole", "name": "n", "object_type": "door", "scene_id": "pole"}}, 1, 0, []),  # any id will do
+        ("p", {"items/tabs.yaml": b"a:\t- b\n\t- c", "items/tag.yaml": b"!odd x", "items/zero.yaml": b"0"}, 0, 3, 9 * [""]),
+        ("p", {"items/n.yaml": b"id: 007\nname: 2024-01-01\nitem_type: yes\n"}, 1, 0, []),
+        ("p", {"items/l.yaml": b"id: [a]\nname: n\nitem_type: key\n"}, 1, 0, []),
+        ("p", {"items/r.yaml": {"id": "r", "name": "n", "item_type": "key", "urgency": "soon", "type": 4}}, 0, 1, ["invalid urgency: 'soon'"]),
+        ("p", {"story_setup.yaml": {}}, 0, 1, ["arcs", "hooks"]),
+    ],
+)
+def test_finer_points(spark, tmp_path, folder, files, passed, failed, words):
+    got = run(spark, put(tmp_path / folder, files))
+    assert got[:3] == (passed, failed, failed == 0)
+    assert len(got[3]) == len(words) and all(any(w in m for m in got[3]) for w in words)
+
+
+def test_folders_named_like_files_and_links_are_left_out(spark, tmp_path):
+    root = tmp_path / "p"
+    put(root, {"items/x.yaml/deep.yaml": {"id": "d", "name": "n", "item_type": "key"}, "items/é ü.yaml": {"id": "e", "name": "n", "item_type": "key"}})
+    (root / "linked").symlink_to(root / "items")
+    assert run(spark, root)[:3] == (2, 0, True)
 
 
 def preset(spark, tmp_path, **more):
@@ -128,11 +201,46 @@ def test_default_ids_follow_the_names_so_far(spark, tmp_path):
     assert got[5].body == "{}"
 
 
-def test_replace_by_pack_keeps_other_packs(spark, tmp_path):
-    frame = lambda rows: spark.createDataFrame(rows, "id string, pack string")
-    L.write_tables({"items": frame([("a", "p1"), ("b", "p2")])}, str(tmp_path))
-    L.write_tables({"items": frame([("c", "p1")])}, str(tmp_path))
-    assert {(r.id, r.pack) for r in spark.read.parquet(str(tmp_path / "items")).collect()} == {("c", "p1"), ("b", "p2")}
+def test_names_in_the_target_count(spark, tmp_path):
+    one = preset_rows(spark, [{"name": "n", "meta": {"id": "n"}, "items": [{"name": "a"}, {"id": "b"}, {"name": "c"}]}])
+    first = {r.rel for r in generate(spark, ["n"], str(tmp_path), one).collect()}
+    assert first == {"meta.yaml", "story_setup.yaml", "items/items_0.yaml", "items/b.yaml", "items/items_2.yaml"}
+    again = {r.rel for r in generate(spark, ["n"], str(tmp_path), one).collect()}
+    assert again == {"meta.yaml", "story_setup.yaml", "items/items_3.yaml", "items/b.yaml", "items/items_4.yaml"}
+    assert len(list((tmp_path / "n/items").iterdir())) == 5 and all((tmp_path / "n" / d).is_dir() for d in ("lore", "scenes", "actors"))
+
+
+def test_builtin_preset_is_sound(spark, tmp_path):
+    generate(spark, ["harbour"], str(tmp_path))
+    v = validate_roots(spark, str(tmp_path / "harbour"))
+    assert [(r.passed, r.failed) for r in v.summary.collect()] == [(12, 0)]
+    typed = L.typed_tables(v.docs)
+    from packloom.operators import refs
+
+    assert refs.strict_orphans(refs.declared_refs(typed), refs.ids_of(typed)).count() == 0 and refs.nested_domains(typed["story_setup"]).count() == 0
+    with pytest.raises(Exception, match="preset without meta"):
+        G.expand(preset_rows(spark, [{"name": "x"}])).collect()
+    assert G.limit_entities(G.expand(builtin_presets(spark)), {"items": 1}, ["faction"]).filter("entity_type in ('items', 'lore')").count() == 2
+
+
+def test_flow_loads_valid_packs_only(spark, tmp_path):
+    roots = [put(tmp_path / "in" / n, SOUND | more) for n, more in (("a", {}), ("b", {"items/x.yaml": {"id": "x"}}))]
+    v = validate_roots(spark, roots)
+    load_valid(v, str(tmp_path / "db"))
+    read = lambda name: L.read_table(spark, str(tmp_path / "db"), name)
+    assert {r.pack for r in read("items").collect()} == {roots[0]} and read("loot_lines").count() == 0
+    assert read("story_hooks").select("description").first()[0] == "The toll has doubled."
+    assert v.rejects.count() == 0
+
+
+def test_load_replaces_packs_and_keeps_others(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "pack string, id string")
+    packs = lambda *names: spark.createDataFrame([(n,) for n in names], "pack string")
+    both = frame([("p1", "a"), ("p2", "b")])
+    L.load_packs({"items": both, "loot_lines": both}, packs("p1", "p2"), str(tmp_path))
+    L.load_packs({"items": frame([("p1", "c"), ("p3", "not named")]), "loot_lines": frame([])}, packs("p1"), str(tmp_path))
+    read = lambda name: {(r.pack, r.id) for r in L.read_table(spark, str(tmp_path), name, both.schema).collect()}
+    assert read("items") == {("p1", "c"), ("p2", "b")} and read("loot_lines") == {("p2", "b")}
 
 
 def test_mistyped_values_are_told_apart(spark):
@@ -152,7 +260,7 @@ def test_streamed_rules_equal_batch(spark, tmp_path):
     from packloom.operators.summary import all_errors
     from packloom.streaming import file_rules as S
 
-    root = put(tmp_path / "p", VALID | {"items/x.yaml": {"id": "x"}})
+    root = put(tmp_path / "p", SOUND | {"items/x.yaml": {"id": "x"}})
     docs = read_packs(spark, root)
     docs.write.parquet(str(tmp_path / "docs"))
     S.write_errors(S.file_errors(S.read_docs(spark, str(tmp_path / "docs"))), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
