@@ -1,33 +1,5 @@
 """Cutting lineage in storage that all executors share, so that the work survives the loss of any of them."""
 
-from __future__ import annotations
+from packloom.storage import cut, new_path, shared_dir, stored
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of its own is set only where the session has none, as in tests."""
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for small tables."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, codec: str = "snappy") -> DataFrame:
-    """Written as Parquet in the shared folder and read again: compressed, and later reads take only their columns."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cut", "new_path", "shared_dir", "stored"]
