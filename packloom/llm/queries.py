@@ -107,7 +107,7 @@ def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the numbers of its lines that a near-equal line elsewhere replaces, or an equal one if they are short."""
     docs = table(spark, sf_dir, "documents")
     found = lines.decisions(docs, equal_words=1).withColumnRenamed("doc_id", "_id")
-    sizes = docs.select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint").alias("n_lines"))
+    sizes = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("bigint").alias("n_lines"))
     out = sizes.join(found.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     n = F.coalesce(F.size("dropped"), F.lit(0))
-    return out.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.greatest(n, F.lit(0)).cast("bigint").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
+    return out.select("doc_id", F.greatest(F.coalesce("n_lines", F.lit(0)), F.lit(0)).alias("n_lines"), F.greatest(n, F.lit(0)).cast("bigint").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
