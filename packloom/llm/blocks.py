@@ -6,6 +6,13 @@ distinct n-grams: packed arrays of sorted keys, cut into buckets by their leadin
 Each bucket adds up what all blocks ask for and answers every block in its order.  A
 block then reads its texts again next to its answers.  Blocks and buckets grow in number
 with the corpus and never in size.
+
+No block writes to every bucket, which would make messages grow with the square of the
+corpus: it cuts its keys into at most 2 ** ``FAN`` ranges.  Where there are more buckets, as
+many blocks as there are ranges hand what they ask of one range to a node of its own, which
+merges it, asks on for them all (again of at most 2 ** ``FAN`` parts of the range) and hands
+the answers back.  So messages grow with the corpus times the number of such hops, its
+logarithm to the base 256.
 """
 
 from __future__ import annotations
@@ -19,10 +26,12 @@ from pyspark.sql import functions as F
 
 from packloom.llm.textvec import U
 
-ASK = "bucket int, block int, n int, keys binary, counts binary"
-ANSWER = "block int, bucket int, counts binary, apart binary, n_distinct long, total long"
+ASK = "bucket long, block int, n int, width int, keys binary, counts binary, apart binary"
+ANSWER = "block int, bucket long, counts binary, apart binary, n_distinct long, total long"
 #: Block number of the rows that sum up a bucket.
 SUMMARY = -1
+#: Bits of a hop.
+FAN = 8
 
 
 def plan_blocks(docs: DataFrame, text_col: str, block_bytes: int = 4 << 20) -> tuple[int, int]:
@@ -36,13 +45,6 @@ def block_of(blocks: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(blocks)).cast("int")
 
 
-def pack_keys(keys: np.ndarray, bits: int, width: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Keys without their leading bucket bits, cut to 32 or 48 bits, and the range of each bucket; ``keys`` ascend."""
-    bounds = np.searchsorted(keys, np.arange(1 << bits, dtype=U) << U(64 - bits))
-    ranges = list(zip(bounds, [*bounds[1:], len(keys)], strict=True))
-    return (keys << U(bits)) >> U(64 - width), ranges
-
-
 def narrow(x: np.ndarray, width: int) -> bytes:
     if width == 32:
         return x.astype(np.uint32).tobytes()
@@ -69,62 +71,86 @@ def read_counts(b: bytes) -> np.ndarray:
     return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
 
 
-def ask_rows(block: int, keys: np.ndarray, counts: np.ndarray, bits: int, width: int, base: int = 0) -> pa.Table:
-    """One row per bucket, numbered from ``base``, that the block's keys (ascending, distinct) fall into."""
-    short, ranges = pack_keys(keys, bits, width)
-    rows = [(base + i, block, int(b - a), narrow(short[a:b], width), pack_counts(counts[a:b])) for i, (a, b) in enumerate(ranges) if b > a]
-    cols = list(zip(*rows, strict=True)) or [[]] * 5
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "block", "n", "keys", "counts"])
+def ask_rows(block: int, keys: np.ndarray, counts: np.ndarray, bits: int, width: int, base: int = 0, apart: np.ndarray | None = None, fan: int = FAN) -> pa.Table:
+    """One row per range of the next hop that the block's keys (ascending, distinct) fall into.
 
+    ``bits`` is what is left to tell the buckets apart, ``width`` what tells keys apart in a
+    bucket; ``base`` numbers the part of all buckets that is meant.  ``apart``: counts that are
+    also summed on their own, over the blocks that give such.
+    """
+    top = min(bits, fan)
+    wide = -(-(bits - top + width) // 8) * 8
+    bounds = np.append(np.searchsorted(keys, np.arange(1 << top, dtype=U) << U(64 - top)), len(keys))
+    short = (keys << U(top)) >> U(64 - wide)
+    rows = [
+        ((base << top) + i, block, int(b - a), wide, narrow(short[a:b], wide), pack_counts(counts[a:b]), None if apart is None else pack_counts(apart[a:b]))
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))
+        if b > a
+    ]
+    cols = list(zip(*rows, strict=True)) or [[]] * 7
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["bucket", "block", "n", "width", "keys", "counts", "apart"])
+
+
+class Asked:
+    """Rows of one bucket or node, their keys merged: ``keys`` (left-aligned, ascending, distinct), ``at`` (where each asked key is among them)."""
+
+    def __init__(self, rows: pa.Table, most: int | None):
+        self.blocks, self.most = rows["block"].to_pylist(), most
+        asked = np.concatenate([widen(b, w) << U(64 - w) for b, w in zip(rows["keys"].to_pylist(), rows["width"].to_pylist(), strict=True)])
+        self.keys, self.at = np.unique(asked, return_inverse=True)
+        self.counts = self.summed([read_counts(b) for b in rows["counts"].to_pylist()])
+        apart = rows["apart"].to_pylist()
+        self.gives = [b is not None for b in apart]
+        sizes = rows["n"].to_pylist()
+        self.apart = self.summed([np.zeros(n, np.int64) if b is None else read_counts(b) for b, n in zip(apart, sizes, strict=True)]) if any(self.gives) else None
+        ends = np.cumsum(sizes)
+        self.spans = list(zip(ends - sizes, ends, strict=True))
 
-def answers(asked: DataFrame, width: int, most: int | None = None, apart_from: int | None = None) -> DataFrame:
+    def summed(self, parts: list[np.ndarray]) -> np.ndarray:
+        total = np.bincount(self.at, weights=np.concatenate(parts), minlength=len(self.keys)).astype(np.int64)
+        return total if self.most is None else np.minimum(total, self.most)
+
+    def answers(self, bucket: int, counts: np.ndarray, apart: np.ndarray | None, summary: tuple[int, int] | None = None) -> pa.Table:
+        """One row per asking block, its counts in the order of its keys; ``summary``: one more row with these totals."""
+        out = counts[self.at]
+        own = None if apart is None else apart[self.at]
+        rows = [(block, bucket, pack_counts(out[a:b]), pack_counts(own[a:b]) if gives else None, None, None) for block, gives, (a, b) in zip(self.blocks, self.gives, self.spans, strict=True)]
+        if summary:
+            rows.append((SUMMARY, bucket, None, None, *summary))
+        types = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["block", "bucket", "counts", "apart", "n_distinct", "total"])
+
+
+def answers(asked: DataFrame, bits: int, width: int, most: int | None = None, fan: int = FAN) -> DataFrame:
     """Sums of each key's counts over all blocks, sent to every block that asked, in the order it asked.
 
-    ``most`` stops sums there.  Blocks numbered ``apart_from`` or higher also get the sums
-    over such blocks alone.  One more row per bucket, of block ``SUMMARY``, has its number
+    ``most`` stops sums there.  One more row per bucket, of block ``SUMMARY``, has its number
     of distinct keys with a count and the sum of all counts.
     """
 
     def add_up(rows: pa.Table) -> pa.Table:
-        blocks = rows["block"].to_pylist()
-        keys = np.concatenate([widen(b, width) for b in rows["keys"].to_pylist()])
-        counts = np.concatenate([read_counts(b) for b in rows["counts"].to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        at = keys[order]
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = at[1:] != at[:-1]
-        starts, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
-
-        def summed(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            total = np.add.reduceat(weights[order], starts)
-            out = np.empty(len(keys), np.int64)
-            out[order] = total[group] if most is None else np.minimum(total, most)[group]
-            return total, out
-
-        total, out = summed(counts)
-        sizes = rows["n"].to_numpy()
-        ends = np.cumsum(sizes)
-        spans = list(zip(ends - sizes, ends, strict=True))
-        apart: list[bytes | None] = [None] * len(blocks)
-        if apart_from is not None and max(blocks) >= apart_from:
-            own = np.repeat(np.array(blocks) >= apart_from, sizes)
-            _, alone = summed(np.where(own, counts, 0))
-            apart = [pack_counts(alone[a:b]) if block >= apart_from else None for block, (a, b) in zip(blocks, spans, strict=True)]
-        bucket = rows["bucket"][0].as_py()
-        return pa.table(
-            [
-                pa.array([*blocks, SUMMARY], pa.int32()),
-                pa.array([bucket] * (len(blocks) + 1), pa.int32()),
-                pa.array([*[pack_counts(out[a:b]) for a, b in spans], None], pa.binary()),
-                pa.array([*apart, None], pa.binary()),
-                pa.array([None] * len(blocks) + [int((total > 0).sum())], pa.int64()),
-                pa.array([None] * len(blocks) + [int(total.sum())], pa.int64()),
-            ],
-            names=["block", "bucket", "counts", "apart", "n_distinct", "total"],
-        )
-
-    return asked.groupBy("bucket").applyInArrow(add_up, ANSWER)
+        got = Asked(rows, most)
+        return got.answers(rows["bucket"][0].as_py(), got.counts, got.apart, (int((got.counts > 0).sum()), int(got.counts.sum())))
+
+    if bits <= fan:
+        return asked.groupBy("bucket").applyInArrow(add_up, ANSWER)
+    left = bits - fan
+    dealt = asked.withColumn("node", F.expr(f"block div {1 << fan}").cast("int")).groupBy("bucket", "node")
+
+    def merge(rows: pa.Table) -> pa.Table:
+        got = Asked(rows, most)
+        return ask_rows(rows["node"][0].as_py(), got.keys, got.counts, left, width, rows["bucket"][0].as_py(), got.apart, fan)
+
+    def spread(rows: pa.Table, answer: pa.Table) -> pa.Table:
+        got = Asked(rows, most)
+        apart = None if got.apart is None else read_answers(answer, "apart")
+        return got.answers(rows["bucket"][0].as_py(), read_answers(answer), apart)
+
+    further = answers(dealt.applyInArrow(merge, ASK), left, width, most, fan)
+    back = further.filter(F.col("block") != SUMMARY).withColumn("parent", F.shiftright("bucket", min(left, fan)))
+    handed = dealt.cogroup(back.groupBy("parent", "block")).applyInArrow(spread, ANSWER)
+    return handed.unionByName(further.filter(F.col("block") == SUMMARY))
 
 
 def read_answers(rows: pa.Table, column: str = "counts") -> np.ndarray:

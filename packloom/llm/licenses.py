@@ -1,18 +1,25 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a window of ``window`` words; windows start every half window, so whatever
-lies within half a window lies whole in some block.  A block meets a template when it
-holds at least ``threshold`` of the template's distinct words.  The join is exact and
-prunes by the usual filters over words ordered by how many documents hold them, rarest
-first: two sets that share enough words share one among their first few (prefix), the
-block must be large enough (length), and the words left after the first shared one must
-suffice (position).  Words outside all templates can't match and are left out of the
-blocks beforehand.
-
-Templates are a fixed list of at most ``MAX_WORDS`` distinct words in all, so they are
-part of the plan: no row leaves its task, and no document, source or group of copies can
-be hot.  Null and empty texts have no words and no labels.  Repeated rows get equal
-results.  Input columns named like an added one are replaced.
+A block is a window of words; windows start every half window, so whatever lies within half
+a window lies whole in some block.  Half a window is a power of two that holds the template
+whole, so a notice of one line and a full license text are each compared with blocks of
+about their own size.  A block meets a template when it holds at least ``threshold`` of the
+template's distinct words.
+
+The join is exact.  Words are ordered by how many documents hold them, rarest first.  Two
+sets that share enough words share one among their first few, so the template words that
+can be the first shared one (prefix) are indexed, and only blocks that hold an indexed word
+are made and looked up: what the index gives for a block's own prefix words are its
+candidates.  A candidate is dropped if the block is too small (length) or if the
+words left after the first shared one can't suffice (position); the rest are counted.
+Words outside all templates can't match and are left out of the blocks beforehand.
+
+Templates and their index are constants of the plan: no row leaves its task, and no
+document, source or group of copies can be hot.  Their number and length are free; the
+plan grows with their distinct words.  Null and empty texts have no words and no labels; a
+text of any length is cut into windows in its task.  Repeated rows get equal results, an
+empty table gives none, and ties in the order go by the word.  Input columns named like an
+added one are replaced.
 """
 
 from __future__ import annotations
@@ -24,7 +31,6 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MAX_WORDS = 2000
 
 #: Phrase, label.
 PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
@@ -40,7 +46,35 @@ TEMPLATES = [
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software"
+        " to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense"
+        " and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"
+        " the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"
+        " the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"
+        " fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other"
+        " liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above"
+        " copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with"
+        " regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special"
+        " direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract"
+        " negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
+        " redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
+        " redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation"
+        " and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or"
+        " implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
 ]
+#: Half a window holds at least so many words.
+LEAST_HALF = 32
 ADDED = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
 
@@ -75,32 +109,50 @@ def _strings(values: list[str]) -> str:
     return "array(" + ",".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
 
 
-def scan_licenses(
-    docs: DataFrame,
-    text_col: str = "text",
-    templates: list[tuple[str, str]] = TEMPLATES,
-    phrases: list[tuple[str, str]] = PHRASES,
-    threshold: float = 0.8,
-    window: int = 64,
-) -> DataFrame:
-    """Add n_words; n_base, first_word, last_word and base_labels of the phrases' places; labels with the
-    templates' added; and score, the highest containment among verified blocks, 1 with a phrase alone, else 0."""
-    half = window // 2
-    sets = [(label, tokens(text)) for label, text in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
-    if len(vocabulary) > MAX_WORDS or any(len(re.findall(WORD, t.lower())) > half for _, t in templates):
-        raise ValueError("templates must be short and few: split long ones into notices of half a window")
-    order = word_order(docs, text_col, vocabulary)
-    rank = {w: i for i, w in enumerate(order)}
-    listed, rare = [], set()
-    for label, ws in sets:
+def by_size(templates: list[tuple[str, str]]) -> dict[int, list[tuple[str, list[str]]]]:
+    """Templates as (label, distinct words) by half a window, a power of two that holds them whole."""
+    out: dict[int, list[tuple[str, list[str]]]] = {}
+    for label, text in templates:
+        n = len(re.findall(WORD, text.lower()))
+        out.setdefault(max(LEAST_HALF, 1 << max(0, n - 1).bit_length()), []).append((label, tokens(text)))
+    return dict(sorted(out.items()))
+
+
+def _met(half: int, sets: list[tuple[str, list[str]]], rank: dict[str, int], threshold: float) -> str:
+    """SQL of the verified (label, score) of all blocks of ``_w`` with templates of one size."""
+    listed, index = [], {}
+    for number, (label, ws) in enumerate(sets, 1):
         ws = sorted(ws, key=rank.get)
         need = least_overlap(len(ws), threshold)
-        prefix = ws[: len(ws) - need + 1]
-        rare |= set(prefix)
-        listed.append(f"named_struct('label','{label}','need',{need},'prefix',{_strings(prefix)},'words',{_strings(ws)})")
-    rare = sorted(rare, key=rank.get)
+        for w in ws[: len(ws) - need + 1]:
+            index.setdefault(w, []).append(number)
+        listed.append(f"named_struct('label','{label}','need',{need},'prefix',{_strings(ws[: len(ws) - need + 1])},'words',{_strings(ws)})")
+    rare, order = sorted(index, key=rank.get), sorted({w for _, ws in sets for w in ws}, key=rank.get)
+    least = min(least_overlap(len(ws), threshold) for _, ws in sets)
+    hit = f"array_contains({_strings(rare)}, w)"
+    near = f"transform(filter(transform(_w, (w, i) -> if({hit}, i, -1)), i -> i >= 0), i -> i div {half})"
+    blocks = f"array_distinct(flatten(transform({near}, b -> if(b > 0, array(b - 1, b), array(b)))))"
+    sets_of = f"transform({blocks}, b -> array_intersect({_strings(order)}, slice(_w, cast(b * {half} + 1 as int), {2 * half})))"
+    large = f"filter({sets_of}, b -> size(b) >= {least})"
+    entries = ", ".join(f"'{w}', array({', '.join(map(str, ns))})" for w, ns in index.items())
+    found = f"array_distinct(flatten(transform(array_intersect({_strings(rare)}, b), w -> element_at(map({entries}), w))))"
+    first = "element_at(array_intersect(t.prefix, slice(b, 1, size(b) - t.need + 1)), 1)"
+    left = f"least(size(t.words) - array_position(t.words, {first}), size(b) - array_position(b, {first})) + 1"
+    qualifies = f"size(b) >= t.need and size(array_intersect(t.prefix, slice(b, 1, size(b) - t.need + 1))) > 0 and {left} >= t.need"
+    candidates = f"filter(transform({found}, n -> element_at(array({','.join(listed)}), n)), t -> {qualifies})"
+    overlap = "size(array_intersect(t.words, b))"
+    counted = f"transform({candidates}, t -> named_struct('label', t.label, 'need', t.need, 'n', {overlap}, 'score', {overlap} / size(t.words)))"
+    verified = f"flatten(transform({large}, b -> filter({counted}, m -> m.n >= m.need)))"
+    none = "cast(array() as array<struct<label:string,need:int,n:int,score:double>>)"
+    return f"if(arrays_overlap(_w, {_strings(rare)}), {verified}, {none})"
 
+
+def scan_licenses(docs: DataFrame, text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: list[tuple[str, str]] = PHRASES, threshold: float = 0.8) -> DataFrame:
+    """Add n_words; n_base, first_word, last_word and base_labels of the phrases' places; labels with the
+    templates' added; and score, the highest containment among verified blocks, 1 with a phrase alone, else 0."""
+    sized = by_size(templates)
+    vocabulary = sorted({w for sets in sized.values() for _, ws in sets for w in ws})
+    rank = {w: i for i, w in enumerate(word_order(docs, text_col, vocabulary))}
     names = [c for c in docs.columns if c not in ADDED]
     base = docs.select(*names, words_of(F.col(text_col)).alias("_w"))
 
@@ -116,21 +168,8 @@ def scan_licenses(
     maybe = f"arrays_overlap(_w, {_strings(ends)})"
     starts = f"if({maybe}, filter(transform(_w, (w, i) -> if({is_head}, i, -1)), i -> i >= 0), cast(array() as array<int>))"
     found = base.withColumn("_at", F.expr(starts)).withColumn("_base", F.expr(f"concat({', '.join(places)})"))
-
-    # Blocks that hold a prefix word of some template, as word sets in the global order.
-    hit = f"array_contains({_strings(rare)}, w)"
-    near = f"transform(filter(transform(_w, (w, i) -> if({hit}, i, -1)), i -> i >= 0), i -> i div {half})"
-    blocks = f"array_distinct(flatten(transform({near}, b -> if(b > 0, array(b - 1, b), array(b)))))"
-    sets_of = f"transform({blocks}, b -> array_intersect({_strings(order)}, slice(_w, cast(b * {half} + 1 as int), {window})))"
-    none = "cast(array() as array<array<string>>)"
-    found = found.withColumn("_blocks", F.expr(f"if(arrays_overlap(_w, {_strings(rare)}), {sets_of}, {none})"))
-    all_templates = "array(" + ",".join(listed) + ")"
-    first = "element_at(array_intersect(t.prefix, slice(b, 1, size(b) - t.need + 1)), 1)"
-    left = f"least(size(t.words) - array_position(t.words, {first}), size(b) - array_position(b, {first})) + 1"
-    qualifies = f"size(b) >= t.need and size(array_intersect(t.prefix, slice(b, 1, size(b) - t.need + 1))) > 0 and {left} >= t.need"
-    overlap = "size(array_intersect(t.words, b))"
-    verified = f"filter(transform(filter({all_templates}, t -> {qualifies}), t -> named_struct('label', t.label, 'need', t.need, 'n', {overlap}, 'score', {overlap} / size(t.words))), m -> m.n >= m.need)"
-    found = found.withColumn("_met", F.expr(f"flatten(transform(_blocks, b -> {verified}))"))
+    met = ", ".join(_met(half, sets, rank, threshold) for half, sets in sized.items())
+    found = found.withColumn("_met", F.expr(f"concat({met})"))
 
     join = lambda a: f"array_join(array_sort(array_distinct({a})), ',')"
     return found.select(
@@ -145,10 +184,11 @@ def scan_licenses(
     )
 
 
-def oracle(templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8, window: int = 64) -> str:
-    """The same result in SQL, by comparing every block with every template."""
-    half = window // 2
-    values = ", ".join(f"('{label}', [{', '.join(repr(w) for w in tokens(text))}], {least_overlap(len(tokens(text)), threshold)})" for label, text in templates)
+def oracle(templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8) -> str:
+    """The same result in SQL, by comparing every block with every template of its size."""
+    rows = [(half, label, ws, least_overlap(len(ws), threshold)) for half, sets in by_size(templates).items() for label, ws in sets]
+    values = ", ".join(f"({half}, '{label}', [{', '.join(map(repr, ws))}], {need})" for half, label, ws, need in rows)
+    halves = ", ".join(f"({half})" for half in by_size(templates))
     found = " union all ".join(
         f"select doc_id, i - 1 place, '{label}' label from w, unnest(range(1, len(ws) + 1)) t(i) where "
         + " and ".join(f"ws[i + {k}] = '{p}'" for k, p in enumerate(phrase.split()))
@@ -157,9 +197,10 @@ def oracle(templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.8, window:
     return f"""with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') ws from documents),
  p as ({found}),
  pa as (select doc_id, count(*) n_base, min(place) first_word, max(place) last_word from p group by 1),
- t(label, ts, need) as (values {values}),
- b as (select doc_id, list_distinct(ws[k * {half} + 1 : k * {half} + {window}]) bs from w, unnest(range(0, greatest(1, (len(ws) + {half} - 1) // {half}))) u(k)),
- m as (select doc_id, label, len(list_intersect(bs, ts)) / len(ts) score from b, t where len(list_intersect(bs, ts)) >= need),
+ t(half, label, ts, need) as (values {values}),
+ h(half) as (values {halves}),
+ b as (select doc_id, half, list_distinct(ws[k * half + 1 : k * half + 2 * half]) bs from w, h, unnest(range(0, greatest(1, (len(ws) + half - 1) // half))) u(k)),
+ m as (select doc_id, label, len(list_intersect(bs, ts)) / len(ts) score from b join t using (half) where len(list_intersect(bs, ts)) >= need),
  ms as (select doc_id, max(score) score from m group by 1),
  bl as (select doc_id, string_agg(label, ',' order by label) l from (select distinct doc_id, label from p) group by 1),
  al as (select doc_id, string_agg(label, ',' order by label) l from (select doc_id, label from p union select doc_id, label from m) group by 1)

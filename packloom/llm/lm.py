@@ -71,7 +71,7 @@ def token_stream(texts: pa.ChunkedArray) -> Stream:
     return Stream(V.mix(token), V.mix(context * V.ODD[1] + token * V.ODD[2]), V.mix(context), doc, len(texts))
 
 
-def ask_block(rows: pa.Table, bits: int) -> pa.Table:
+def ask_block(rows: pa.Table, bits: int, apart_from: int) -> pa.Table:
     """Unigrams in the first half of the buckets, bigrams in the second; counts are those of training documents.
 
     A context's count is its unigram's; the start is asked for as one, counted once a document.
@@ -83,7 +83,8 @@ def ask_block(rows: pa.Table, bits: int) -> pa.Table:
     out = []
     for half, keys, w in ((0, np.concatenate([s.unigram, first]), np.append(weight, int(train.sum()))), (1, s.bigram, weight)):
         distinct, back = np.unique(keys, return_inverse=True)
-        out.append(B.ask_rows(block, distinct, np.bincount(back, weights=w, minlength=len(distinct)).astype(np.int64), bits, WIDTH, half << bits))
+        counts = np.bincount(back, weights=w, minlength=len(distinct)).astype(np.int64)
+        out.append(B.ask_rows(block, distinct, counts, bits, WIDTH, half, counts if block >= apart_from else None))
     return pa.concat_tables(out)
 
 
@@ -157,8 +158,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     block = F.when(apart, B.block_of(n_apart, "doc_id", "text") + n_blocks).otherwise(B.block_of(n_blocks, "doc_id", "text"))
     blocked = blocked.select("doc_id", "text", train.alias("train"), apart.alias("apart"), block.alias("block"))
 
-    asked = blocked.drop("apart").groupBy("block").applyInArrow(lambda rows: ask_block(rows, bits), B.ASK)
-    answered = stored(B.answers(asked, WIDTH, apart_from=n_blocks))
+    asked = blocked.drop("apart").groupBy("block").applyInArrow(lambda rows: ask_block(rows, bits, n_blocks), B.ASK)
+    answered = stored(B.answers(asked, bits, WIDTH))
     sums = answered.filter(f"block = {B.SUMMARY} and bucket < {1 << bits}").agg(F.sum("n_distinct"), F.sum("total")).first()
     starts = blocked.filter("train").count()
     # The start isn't a token, though it is counted as one when there are training documents.

@@ -3,10 +3,12 @@
 Rows are numbered 0 to n-1 in a fixed order (bucket of a hash, then the key, then the
 text's checksum); the number is permuted and dealt out: shard = p mod shards,
 slot = p div shards.  So shard sizes differ by one at most, slots have no gaps, and the
-place of a row follows from its number alone: nothing but bucket counts is gathered.
+place of a row follows from its number alone.
 
-Null keys and null texts are numbered like others.  Rows equal in key and text may
-exchange their places.  An empty table gives no rows.  ``rows`` is the law that holds.
+Null keys and null texts are numbered like others; texts of any length only count by their
+checksum.  Rows equal in key and text may exchange their places.  An empty table gives no
+rows.  Input columns named like an added one (row_no, shard, slot) are replaced.  ``rows``
+is the law that holds.
 """
 
 from __future__ import annotations
@@ -16,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from packloom.llm.shared import cut
+
 #: Round constants, all below 2**31.
 ROUNDS = [(1103515245, 12345), (1664525, 1013904223), (214013, 2531011), (1140671485, 12820163), (69069, 362437), (1597334677, 907633385)]
 PRIME = 2147483647
@@ -46,23 +50,37 @@ def permute(x: np.ndarray, n: int, seed: int = 0, inverse: bool = False) -> np.n
     return x
 
 
-def number_rows(docs: DataFrame, key: Column, tie: Column, buckets: int | None = None) -> tuple[DataFrame, int]:
+def bucket_starts(counts: DataFrame, width: int = 1024) -> DataFrame:
+    """``counts`` (bucket, n) with ``start``, the number of rows in all buckets before.
+
+    Running sums within every ``width`` buckets, and over the sums of those: no step sees
+    more than a ``width``-th of the buckets in one task.
+    """
+    part = F.expr(f"bucket div {width}")
+    inner = Window.partitionBy("part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parted = counts.withColumn("part", part)
+    parts = parted.groupBy("part").agg(F.sum("n").alias("held")).withColumn("before", F.coalesce(F.sum("held").over(outer), F.lit(0)))
+    within = parted.withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    return within.join(parts.hint("shuffle_merge"), "part").select("bucket", (F.col("before") + F.col("inside")).alias("start"))
+
+
+def number_rows(docs: DataFrame, key: Column, tie: Column, rows_per_bucket: int = 20_000) -> tuple[DataFrame, int]:
     """Add ``row_no``, dense from 0 in the order of (hash bucket, key, tie); also the number of rows.
 
-    Only the counts of buckets are gathered: one number for every 50,000 rows.
+    Counts of buckets stay in Spark and are joined to the rows, which are dealt out by
+    bucket anyway.  Rows equal in key and tie fall into one bucket, where any part of them
+    may be in any order.
     """
     keyed = docs.withColumns({"_key": key, "_tie": tie})
-    if buckets is None:
-        buckets = max(64, docs.count() // 50_000)
-    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_tie"), F.lit(buckets)).cast("int"))
-    counts = {r._bucket: r.n for r in keyed.groupBy("_bucket").agg(F.count("*").alias("n")).collect()}
-    first, total = [], 0
-    for b in range(buckets):
-        first.append(total)
-        total += counts.get(b, 0)
-    offset = F.element_at(F.lit(first).cast("array<bigint>"), F.col("_bucket") + 1)
+    total = docs.count()
+    buckets = max(64, total // rows_per_bucket)
+    keyed = keyed.withColumn("_bucket", F.pmod(F.xxhash64("_key", "_tie"), F.lit(buckets)))
+    counts = keyed.groupBy(F.col("_bucket").alias("bucket")).agg(F.count("*").alias("n"))
+    starts = cut(bucket_starts(counts))
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy("_key", "_tie"))
-    return keyed.withColumn("row_no", offset + within - 1).drop("_key", "_tie", "_bucket"), total
+    placed = keyed.join(starts.hint("shuffle_merge"), F.col("_bucket") == F.col("bucket"))
+    return placed.withColumn("row_no", F.col("start") + within - 1).drop("_key", "_tie", "_bucket", "bucket", "start"), total
 
 
 def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text_col: str = "text", seed: int = 0, tie: Column | None = None) -> DataFrame:

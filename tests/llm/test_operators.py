@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +60,18 @@ def test_licenses(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_whole_license_texts(spark, nothing):
+    """A full text in the middle of another, one with a fifth of its words gone, and half of one."""
+    full = max(licenses.TEMPLATES, key=lambda t: len(t[1]))[1]
+    ws = full.split()
+    fewer = [w for w in ws if sorted(set(ws)).index(w) % 6]
+    isc = next(t for label, t in licenses.TEMPLATES if label == "isc")
+    rows = [(1, f"{prose(1, 300)} {full.title()} {prose(2, 300)}"), (2, f"{prose(3, 100)} {' '.join(fewer)}"), (3, prose(4, 2000)), (4, f"{prose(6, 70)} {isc} {isc}"), (5, " ".join(isc.split()[: len(isc.split()) // 2]))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, labels string")).collect()}
+    assert got[1].labels == "mit" and got[1].score == 1.0 and "mit" in got[2].labels and got[3].labels == "" and got[4].labels == "isc" and got[5].labels == ""
+    assert licenses.scan_licenses(nothing).count() == 0 and got[1].n_words == 600 + len(ws)
+
+
 def test_chat(spark):
     said = r"\### Assistant: </turn> ok"
     rows = [(1, 0, "user", said), (1, 1, "assistant", said), (1, 2, "a>b<%", "<~turn x"), (2, 0, None, None), (3, 1, "assistant", "b"), (3, 0, "assistant", "é\n"), (None, 0, "user", "q")]
@@ -111,13 +124,58 @@ def test_jaccard(docs, size, percent):
     more = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame([(100 + i, t) for i, t in enumerate(family)], "doc_id long, text string"))
     got = {r.doc_id: r for r in jaccard.jaccard_components(more, size=size, percent=percent, members=8).collect()}
     s = {r[0]: sets(r[1], size) for r in [*ROWS, *[(100 + i, t) for i, t in enumerate(family)]]}
-    up, degree = {i: i for i in s}, Counter()
+    up = {i: i for i in s}
     for a, b in itertools.combinations(sorted(s), 2):
         if s[a] and s[b] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b]):
-            degree.update((a, b))
             low_, high = sorted((up[a], up[b]))
             up = {k: low_ if v == high else v for k, v in up.items()}
-    assert {i: (r.n_shingles, r.component_id, r.n_links) for i, r in got.items()} == {i: (len(s[i]), up[i], degree[i]) for i in s}
+    assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == {i: (len(s[i]), up[i]) for i in s}
+
+
+def test_jaccard_edges(spark, nothing):
+    rows = [(7, TEXTS[0]), (7, TEXTS[0]), (None, TEXTS[0]), (9, NEAR), (None, TEXTS[1]), (3, None), (4, ""), (5, "x")]
+    out = jaccard.jaccard_components(spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, component_id string, g int")).collect()
+    got = Counter((r.doc_id, r.component_id) for r in out)
+    assert got == Counter({(7, 7): 2, (None, 7): 1, (9, 7): 1, (None, None): 1, (3, 3): 1, (4, 4): 1, (5, 5): 1})
+    assert jaccard.jaccard_components(nothing).count() == 0
+
+
+def test_links_between_groups_of_one_common_passage(spark):
+    """Documents that share their rarest shingles without being similar: the second round finds the pairs that are."""
+    shared = prose(300, 12)
+    texts = [f"{prose(400 + i // 2, 40)} {shared}" + (" end" if i % 2 else "") for i in range(16)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=3, percent=90, members=2).collect()}
+    assert got == {i: i - i % 2 for i in range(16)}
+
+
+@pytest.mark.parametrize("bits, fan", [(3, 8), (5, 2), (6, 1)])
+def test_counts_come_back_over_any_number_of_hops(spark, bits, fan):
+    from packloom.llm import blocks as B
+    from packloom.llm.shared import stored
+
+    rng = np.random.default_rng(bits)
+    asks = {b: np.unique(rng.integers(0, 1 << 64, 200, dtype=np.uint64) >> np.uint64(54) << np.uint64(54) | np.uint64(5)) for b in range(40)}
+    counts = {b: rng.integers(0, 5, len(k)) for b, k in asks.items()}
+
+    def ask(rows):
+        b = rows["b"][0].as_py()
+        return B.ask_rows(b, asks[b], counts[b], bits, 48, apart=counts[b] if b >= 30 else None, fan=fan)
+
+    blocks = spark.range(40).select(F.col("id").cast("int").alias("b"))
+    got = stored(B.answers(blocks.groupBy("b").applyInArrow(ask, B.ASK), bits, 48, fan=fan)).toArrow()
+    total, alone = Counter(), Counter()
+    for b, k in asks.items():
+        for key, n in zip(k.tolist(), counts[b].tolist(), strict=True):
+            total[key] += n
+            alone[key] += n * (b >= 30)
+    for b, k in asks.items():
+        mine = got.filter(pa.compute.equal(got["block"], b))
+        assert B.read_answers(mine).tolist() == [total[x] for x in k.tolist()]
+        if b >= 30:
+            assert B.read_answers(mine, "apart").tolist() == [alone[x] for x in k.tolist()]
+    sums = got.filter(pa.compute.equal(got["block"], B.SUMMARY))
+    assert sum(sums["total"].to_pylist()) == sum(total.values()) and sum(sums["n_distinct"].to_pylist()) == sum(n > 0 for n in total.values())
+    assert Counter(got["block"].to_pylist()).most_common(1)[0][1] <= max(1 << bits, 1 << fan)
 
 
 def test_decontamination(spark, docs, nothing):
@@ -224,20 +282,67 @@ def test_lines(spark):
     assert [got[i].n_dropped for i in range(7)] == [0, 0, 1, 1, 0, 0, 0] and got[4].text is None and got[6].text == "\n\n"
 
 
-def test_short_lines_with_few_changed_words_are_candidates():
-    rng = np.random.default_rng(5)
-    for n in range(5, lines.SHORT + 1):
-        for _ in range(20):
-            one = [f"{WORDS[k]}{chr(97 + rng.integers(26))}" for k in rng.integers(len(WORDS), size=n)]
+def distance(x, y):
+    before = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        now = [i]
+        for j, b in enumerate(y, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (a != b)))
+        before = now
+    return before[-1]
+
+
+def normal(line):
+    return " ".join(re.sub("[1-9]", "0", re.sub(r"[\W_]+", " ", line.lower())).split())
+
+
+def near_lines(a, b):
+    x, y = a.split(), b.split()
+    if max(len(x), len(y)) <= lines.SHORT:
+        x, y = a, b
+    return distance(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9)
+
+
+def test_lines_against_all_pairs(spark):
+    """Lines of 6 to 150 words and copies with words replaced, put in and left out: at least nine links of ten are found, and no other."""
+    rng = np.random.default_rng(8)
+    said = []
+    for k in range(90):
+        one = prose(700 + k, int(rng.choice([6, 9, 14, 22, 40, 150]))).split()
+        said.append(" ".join(one))
+        for _ in range(2):
             two = list(one)
-            for k in rng.choice(n, int(lines.changes(np.array(n))), replace=False):
-                two[k] = ["", two[k][:-1] + "é", two[k] + " " + two[k]][rng.integers(3)]
-            two = " ".join(two).split()
-            if min(len(one), len(two)) < 5 or max(len(one), len(two)) > lines.SHORT:
-                continue
-            t = lines.line_table(pa.array([" ".join(one), " ".join(two)]), 5)
-            a, b = (set(k[k != 0].tolist()) for k in t["keys"])
-            assert a & b or t["id"][0] == t["id"][1], (one, two)
+            for _ in range(max(1, len(two) // 15)):
+                at = int(rng.integers(len(two)))
+                two[at : at + int(rng.integers(0, 2))] = ["changed", "of"][: int(rng.integers(0, 2))]
+            said.append(" ".join(two))
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    dropped = {r.doc_id for r in lines.decisions(docs).collect()}
+    forms = [normal(t) for t in said]
+    up, links = list(range(len(said))), 0
+    for a, b in itertools.combinations(range(len(said)), 2):
+        if min(len(forms[a].split()), len(forms[b].split())) >= 5 and near_lines(forms[a], forms[b]):
+            links += 1
+            low_, high = sorted((up[a], up[b]))
+            up = [low_ if v == high else v for v in up]
+    want = {i for i in range(len(said)) if up[i] != i}
+    assert links > 150 and dropped <= want and len(dropped) >= 0.9 * len(want)
+
+
+def test_lines_of_one_common_passage_are_told_apart(spark):
+    passage = "quiet river stones under the old bridge where boats sleep all day"
+    said = [f"{passage} {prose(900 + i, 14)}" for i in range(30)]
+    said += [said[3] + " again", said[4].replace("boats", "ships")]
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    assert {r.doc_id for r in lines.decisions(docs).collect()} == {30, 31}
+
+
+def test_line_edges(spark, nothing):
+    long = prose(5, 20_000)
+    rows = [(1, long + "\n" + long), (2, long.replace("river", "RIVER!")), (3, "\n".join(["a b c d e f g"] * 3)), (3, "a b c d e f g"), (None, "a b c d e f g"), (None, "nobody else says this at all"), (4, None)]
+    got = {(r.doc_id, tuple(r.dropped)) for r in lines.decisions(spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, id int, keys string")).collect()}
+    assert got == {(1, (1,)), (2, (0,)), (3, (0, 1, 2))}
+    assert lines.decisions(nothing).count() == 0 and lines.dedup_lines(nothing).count() == 0
 
 
 def test_one_edit_in_each_half_of_a_line(spark):
@@ -269,6 +374,24 @@ def test_near_duplicates_go_by_row(spark):
     assert P.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
 
 
+def test_pipeline_leaves_other_columns_alone(spark, tmp_path):
+    import corpus_pipeline as P
+
+    names = "kept n_words weight epoch block_order n_tokens char_distance row_no _w base_failed".split()
+    rows = [(i, t, "en", "s", len(t), *[f"{n}{i}" for n in names]) for i, t in enumerate(TEXTS)]
+    docs = spark.createDataFrame([*rows, (None, None, None, None, None, *names), (2, *rows[2][1:])], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for _, stage in P.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema == docs.schema
+        for r in out.collect():
+            assert r.doc_id is None or all(r[n] == f"{n}{r.doc_id}" for n in names)
+    empty = docs.limit(0)
+    for _, stage in P.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+    assert empty.count() == 0 and {"row_no", "shard", "slot"} <= set(empty.columns)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline as P
 
