@@ -1,7 +1,10 @@
 """A corpus cleaned, deduplicated, decontaminated, mixed and sharded, stage by written stage.
 
 Every stage takes all that the one before it kept, as read back from Parquet, and returns
-the columns of ``documents``; the last one adds the places in the shards.
+the columns of ``documents``; the last one adds the places in the shards.  Further columns
+of the table pass through whatever their names.  Null ids, repeated ids and repeated rows
+are rows like others, told apart by their whole content where near duplicates go.  An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,9 +18,20 @@ from packloom.llm import decontaminate, jaccard, mixing, quality, sharding
 from packloom.llm.shared import shared_dir
 
 
+def wrapped(docs: DataFrame, *used: str) -> DataFrame:
+    """The columns ``used`` and, in one struct, all others: so none can clash with what an operator adds."""
+    others = [F.col(c) for c in docs.columns if c not in used]
+    return docs.select(*[c for c in used if c in docs.columns], F.struct(*others).alias("_rest"))
+
+
+def unwrapped(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` again, in their order."""
+    return rows.select(*[c if c in rows.columns else F.col("_rest").getField(c).alias(c) for c in docs.columns])
+
+
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality.quality_rules(docs).filter("kept").select(docs.columns)
+    """Documents that the quality rules reject go, those with a null or empty text among them."""
+    return unwrapped(quality.quality_rules(wrapped(docs, "text", "lang")).filter("kept").select("text", "lang", "_rest"), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +58,12 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Small sources repeat, twice at most; every document stays at least once."""
-    return mixing.mix(docs, max_repeats=2.0).select(docs.columns)
+    """Small sources repeat, twice at most; every document stays at least once, and so does every repeated row."""
+    return unwrapped(mixing.mix(wrapped(docs, "doc_id", "text", "source"), max_repeats=2.0).select("doc_id", "text", "source", "_rest"), docs)
 
 
 def shard_rows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sixteen shards of a reproducible shuffle; counts differ by one at most."""
+    """Sixteen shards of a reproducible shuffle; counts differ by one at most.  Columns named like the three added ones are replaced."""
     return sharding.shard(docs, 16)
 
 
@@ -61,7 +75,7 @@ STAGES = [
     ("sharding", shard_rows),
 ]
 
-#: MinHash bands, hashed row numbers and component searches have no SQL form; tests hold every stage against brute force.
+#: Corpus references, MinHash bands, component searches and hashed row numbers have no SQL form; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
