@@ -11,8 +11,8 @@ and taken out again on reading; other texts stay as they are.
 
 Turns are ordered by turn, then role and text where turns repeat; null turns come first.
 Null texts and roles count as empty.  A null conversation id is a conversation.  Other
-columns are left out.  One conversation is one row while it is formatted, as its
-transcript is one text.
+columns are left out.  An empty table gives no examples.  One conversation is one row while
+it is formatted, as its transcript is one text, of any length.
 """
 
 from __future__ import annotations

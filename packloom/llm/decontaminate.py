@@ -13,9 +13,12 @@ whole copy with less than 1 in 10,000.
 
 Shingles are ``size`` words with A-Z in lower case; an item with fewer words is one
 shingle of all its words, looked for among windows of that length.  Items without words
-match nothing, as do null and empty documents.  Repeated items and documents each match
-on their own.  The items are sent to the tasks in parts of at most ``part_items`` items,
-one search of the documents each, so what is broadcast stays bounded however many there are.
+match nothing, as do null and empty documents.  A document of any length is searched whole
+in its task.  Repeated items and documents each match on their own.  Null ids are ids like
+others.  An empty table on either side gives no matches, and then all documents are clean.
+Columns other than id and text are left out of matches; clean documents keep all theirs.
+The items are sent to the tasks in parts of about ``part_items`` items and ``PART_BYTES``, one search of
+the documents each, so what is broadcast stays bounded however many there are.
 """
 
 from __future__ import annotations
@@ -136,10 +139,15 @@ def search_texts(index: ItemIndex, texts: pa.Array, percent: int) -> Iterator[tu
                         yield a + text, item, shared, len(wanted)
 
 
+#: Bytes of item texts in one part, about.
+PART_BYTES = 32 << 20
+
+
 def item_parts(items: DataFrame, id_col: str, text_col: str, size: int, ratio: float, hashes: int, part_items: int) -> Iterator[ItemIndex]:
-    """The items in parts of about ``part_items`` each, one part on the driver at a time."""
-    n = max(1, -(-items.count() // part_items))
+    """The items in parts of about ``part_items`` and ``PART_BYTES`` each, one part on the driver at a time."""
     dealt = items.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    rows, held = dealt.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, -(-rows // part_items), -(-held // PART_BYTES))
     for k in range(n):
         rows = dealt.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k).collect()
         yield ItemIndex.build([r.id for r in rows], [r.text for r in rows], size, ratio, hashes)

@@ -11,8 +11,11 @@ its bins are bounded, its weights grow with the corpus.
 
 Tokens are words with A-Z in lower case, then one end.  Null and empty texts have their
 end only.  A null id belongs to fold 0, which is held out.  Repeated rows count and are
-scored each.  Without training documents, nothing is known and a token's estimate is 1.
-Columns other than id and text are left out.
+scored each.  Ids must be whole numbers, or text that reads as such.  A text of any length
+is scored whole.  Without training documents, nothing is known and a token's estimate is 1.
+An empty table gives no rows.  Columns other than id and text are left out, so none can
+clash.  The order is fixed at two words: trigrams would take the counts beyond the disk
+that a job of this kind is given (README.md).
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ Permutations are orders of a hash, cut into buckets: only sums of buckets run th
 window over a source, so one source may hold any part of all rows.
 
 A null source is a source of its own.  Null and empty texts have no tokens; they are kept
-in every block that reaches their place.  Repeated rows are documents of their own, with
+in every block that reaches their place.  Texts of any length only count by their tokens.  Repeated rows are documents of their own, with
 ties of the order broken by their place among equals.  An empty table gives no rows.
 Input columns named like an added one are replaced.
 """

@@ -3,13 +3,23 @@
 Two histograms of a document, over character classes and over its language's common
 words, are compared by Jensen-Shannon distance with references of its language.  The
 references are summed over all documents that pass the base rules, have symbols in at
-most a 50th of their word characters and capitals in at most a 10th.  A document with
-fewer words than ``min_words`` is too short for a verdict by distance; the base rules
-reject it.
+most a 50th of their word characters and capitals in at most a 10th (running text of the
+four languages has about 1 and 3 % of them, so plain text passes and markup, code and
+shouting don't shape the references).
+
+A document is rejected when its character distance is over ``max_char_distance`` or the sum
+of both distances over ``max_distance_sum``.  Minimum-length guards: the first needs
+``min_chars`` word characters and the second ``min_judged`` words, as shorter histograms
+are far from any reference by chance; what isn't judged is kept if the base rules keep it.
+The limits are those of the synthetic corpus at scale 0.1: of 8,204 plain documents, 99.9 %
+have a character distance under 0.21 and a sum under 0.45; of the 291 labelled as bad that
+pass the base rules, half are over 0.40 and 0.70 and none is under 0.44 in sum.
 
 Null and empty texts have no words and are rejected.  A null or unknown language takes
-the pooled reference ``other`` and has no word histogram.  Repeated rows get the same
-verdict.  Input columns named like an added one are replaced.
+the pooled reference ``other`` and has no word histogram.  A text of any length is counted
+whole, in its task.  Repeated rows get the same verdict and count in the references as
+often as they occur.  An empty table gives no rows.  Input columns named like an added one
+are replaced.
 """
 
 from __future__ import annotations
@@ -96,6 +106,13 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, w: V.Words) -> dict[str,
     }
 
 
+def verdict(bad, n_words, word_chars, by_char, by_word, max_char_distance=0.3, max_distance_sum=0.44, min_chars=200, min_judged=80) -> np.ndarray:
+    """Whether each document is kept."""
+    far = (word_chars >= min_chars) & (by_char > max_char_distance)
+    odd = (n_words >= min_judged) & (by_char + by_word > max_distance_sum)
+    return ~bad & ~far & ~odd
+
+
 def failed(c: dict[str, np.ndarray], min_words: int) -> np.ndarray:
     return (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
 
@@ -184,12 +201,13 @@ def quality_rules(
     min_words: int = 50,
     max_char_distance: float = 0.3,
     max_distance_sum: float = 0.44,
+    min_chars: int = 200,
+    min_judged: int = 80,
     refs: dict | None = None,
 ) -> DataFrame:
     """Add the base counts, ``base_failed``, both distances and ``kept`` to every row of ``docs``.
 
-    A document is kept if it passes the base rules, its character distance is small enough
-    and so is the sum of its two distances.  ``refs`` takes references of an earlier call; else one more pass over the texts sums them.
+    ``refs`` takes references of an earlier call; else one more pass over the texts sums them.
     """
     lang_col = lang_col if lang_col in docs.columns else None
     refs = references(docs, text_col, lang_col, common, min_words) if refs is None else refs
@@ -216,7 +234,7 @@ def quality_rules(
                 for lang, (rows, counts) in found.items():
                     if (reference := refs.get(lang, {}).get("words")) is not None:
                         by_word[rows] = distance(counts, np.array(reference))
-                kept = ~bad & (by_char <= max_char_distance) & (by_char + by_word <= max_distance_sum)
+                kept = verdict(bad, new["n_words"], new["word_chars"], by_char, by_word, max_char_distance, max_distance_sum, min_chars, min_judged)
                 new = new | {"base_failed": bad, "char_distance": by_char, "word_distance": by_word, "kept": kept}
                 yield V.with_columns(batch.slice(a, b - a), names, {k: pa.array(v) for k, v in new.items()})
 

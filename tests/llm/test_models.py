@@ -125,7 +125,7 @@ def test_quality_verdicts(spark):
     """Distances and verdicts from references summed in plain Python."""
     rng = np.random.default_rng(3)
     talk = lambda k, n: " ".join(rng.choice([*quality.COMMON["en"], *WORDS]) + ("." if i % 9 == 8 else "") for i in range(n))
-    rows = [(k, talk(k, 60 + 9 * k), "en") for k in range(20)] + [(50, "WIN!! $$$ NOW 4U ### " * 3 + " ".join(f"{x}$%" for x in range(200)), "en"), (51, talk(9, 70).upper(), "en"), (52, talk(1, 90), None), (53, None, "en"), (54, "", "xx"), (55, "zq " + prose(4, 400).replace("e", "9"), "en")]
+    rows = [(k, talk(k, 60 + 9 * k), "en") for k in range(20)] + [(50, "WIN!! $$$ NOW 4U ### " * 3 + " ".join(f"{x}$%" for x in range(200)), "en"), (51, talk(9, 90).upper(), "en"), (56, "le chat dort " + prose(8, 60), "en"), (52, talk(1, 90), None), (53, None, "en"), (54, "", "xx"), (55, "zq " + prose(4, 400).replace("e", "9"), "en")]
     got = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, kept string")).collect()}
     common = {w: i for i, w in enumerate(quality.COMMON["en"])} | {w.capitalize(): i for i, w in enumerate(quality.COMMON["en"])}
     by_word = lambda t: [sum(common.get(w) == i for w in words(t)) for i in range(len(quality.COMMON["en"]))] + [sum(w not in common for w in words(t))]
@@ -143,7 +143,7 @@ def test_quality_verdicts(spark):
         char = divergence(histogram(t), refs["en" if lang == "en" else "other"]) if t else 1.0
         word = (divergence(by_word(t), refs["words"]) if words(t) else 1.0) if lang == "en" else 0.0
         assert r.char_distance == pytest.approx(char, abs=1e-9) and r.word_distance == pytest.approx(word, abs=1e-9)
-        assert r.kept == quality.verdict(np.array([r.base_failed]), np.array([r.n_words]), np.array([char]), np.array([word]))[0]
+        assert r.kept == (not r.base_failed and (r.word_chars < 200 or char <= 0.3) and (r.n_words < 80 or char + word <= 0.44))
     assert not got[50].kept and not got[51].kept and not got[53].kept and got[3].kept and got[52].kept
 
 
