@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from samples import ROWS, TEXTS, WORDS, low, prose, words
+
 from packloom.llm import lm, quality, queries, sharding, urls
-from tests.llm.test_operators import ROWS, TEXTS, WORDS, low, prose, words
 
 
 def test_interpolated_scores(spark, monkeypatch):
