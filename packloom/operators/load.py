@@ -76,6 +76,13 @@ def table_schema(spark: SparkSession, name: str) -> StructType:
     return all_tables(spark.createDataFrame([], DOCS_DDL))[name].schema
 
 
+def chosen(packs: DataFrame) -> DataFrame:
+    """The names of these packs, to filter by.  They are counted: a short list is sent to all tasks, so that no pack's rows have to meet in one."""
+    names = packs.select("pack").distinct()
+    small = names.limit(BROADCAST_PACKS + 1).count() <= BROADCAST_PACKS
+    return names.hint("broadcast" if small else "shuffle_merge")
+
+
 def load_packs(tables: dict[str, DataFrame], packs: DataFrame, path: str) -> str:
     """Replace these packs (pack) in every table by what ``tables`` holds of them; other packs stay.
 
@@ -84,10 +91,9 @@ def load_packs(tables: dict[str, DataFrame], packs: DataFrame, path: str) -> str
     of each pack, so all tables change at once, a load that fails changes nothing, and a
     pack without rows in a table has none left there.
     """
-    load = uuid.uuid4().hex
+    load, names = uuid.uuid4().hex, chosen(packs)
     for name, df in tables.items():
-        held = df.join(packs.select("pack").distinct().hint("shuffle_merge"), "pack", "left_semi")
-        held.withColumn("load", F.lit(load)).write.mode("append").partitionBy("load", "pack").parquet(f"{path}/{name}")
+        df.join(names, "pack", "left_semi").withColumn("load", F.lit(load)).write.mode("append").partitionBy("load", "pack").parquet(f"{path}/{name}")
     said = packs.select("pack").distinct().select("pack", F.lit(load).alias("load"), F.lit(time.time_ns()).alias("at"))
     said.write.mode("append").parquet(f"{path}/loads")
     return load
@@ -106,7 +112,7 @@ def read_table(spark: SparkSession, path: str, name: str, schema: StructType | N
 
 def gate(docs: DataFrame, summary: DataFrame) -> DataFrame:
     """Only documents of valid packs go on to the load."""
-    return docs.join(summary.filter("is_valid").select("pack").hint("shuffle_merge"), "pack", "left_semi")
+    return docs.join(chosen(summary.filter("is_valid")), "pack", "left_semi")
 
 
 def corpus(tables: dict[str, DataFrame]) -> DataFrame:
