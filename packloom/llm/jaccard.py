@@ -216,13 +216,16 @@ def jaccard_components(
 
     # The second round: groups of a shingle that has classes of several components.
     roots = components(links).withColumnRenamed("node", "sig")
-    placed = matrix.join(roots.hint("shuffle_merge"), "sig", "left").select("token", "g", F.coalesce("root", "sig").alias("root"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("token")
-    apart = stored(placed.join(mixed.hint("shuffle_merge"), "token", "left_semi").distinct())
-    left, right = (apart.select("token", F.col("g").alias(g), F.col("root").alias(r)) for g, r in (("g1", "r"), ("g2", "s")))
-    second = left.join(right.hint("shuffle_merge"), "token").filter("g1 < g2 and r <> s").select("g1", "g2").distinct()
+    placed = matrix.join(roots.hint("shuffle_merge"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    placed = placed.groupBy("token", "g").agg(F.min("root").alias("r"), F.max("root").alias("s"))
+    mixed = placed.groupBy("token").agg(F.min("r").alias("least"), F.max("s").alias("most")).filter("least <> most").select("token")
+    apart = stored(placed.join(mixed.hint("shuffle_merge"), "token", "left_semi"))
+    left, right = (apart.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("g", "r", "s")]) for i in (1, 2))
+    second = left.join(right.hint("shuffle_merge"), "token").filter("g1 < g2 and least(r1, r2) <> greatest(s1, s2)").select("g1", "g2").distinct()
     second = cut(second.join(first.hint("shuffle_merge"), ["g1", "g2"], "left_anti"))
-    roots = components(links.unionByName(links_of(second, packs, percent))).withColumnRenamed("node", "sig")
+    more = None if second.isEmpty() else links_of(second, packs, percent)
+    if more is not None and not more.isEmpty():
+        roots = components(links.unionByName(more)).withColumnRenamed("node", "sig")
 
     rooted = classes.select("sig", "least_id").join(roots.hint("shuffle_merge"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
