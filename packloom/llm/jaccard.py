@@ -6,22 +6,20 @@
    similar enough share one of their first few shingles (their prefixes); shingles that
    one document alone holds can't be shared and drop out.
 3. Classes are dealt into groups of similar sets (same smallest hash), large groups into
-   chunks.  The matrix says which groups hold a shingle in some prefix.
+   chunks.  The matrix says which groups hold a shingle in some prefix.  Only groups that
+   share one are brought together.
 4. Each query set's overlap with the other group's union of shingles bounds its
    similarity with all its sets; a group opens only for the queries whose bound reaches
    the threshold, and those pairs are counted exactly.
 
-Groups are brought together in two rounds.  First each one with the smallest group of
-each of its shingles, so a shingle in k groups gives k - 1 pairs.  Then those that share a
-shingle whose classes aren't all of one component by now: only such pairs can add a link
-that matters, as what is linked already stays so.  So families of near copies, however
-large, aren't paired up, and components are exact.
-
-Null and empty texts have no shingles and link with nothing; a text with fewer words than a
-shingle is one shingle of all its words.  A text of any length is one set of 8 bytes a
-shingle.  Repeated rows are copies of one class.  A null document id takes its class's
-component.  Ids must be whole numbers, or text that reads as such.  An empty table gives
-no rows.  Input columns other than id and text are left out, so none can clash.
+Every link is counted, but a pair of groups sends one row per linked class, not one per
+link.  Groups that share a shingle of their prefixes are all compared, so the work grows
+with the square of a family of near copies that aren't equal.  Null and empty texts have no
+shingles and link with nothing; a text with fewer words than a shingle is one shingle of all
+its words.  A text of any length is one set of 8 bytes a shingle.  Repeated rows are copies
+of one class.  A null document id takes its class's component.  Ids must be whole numbers,
+or text that reads as such.  An empty table gives no rows.  Input columns other than id and
+text are left out, so none can clash.
 """
 
 from __future__ import annotations
@@ -94,7 +92,7 @@ def cards(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
     return B.with_answers(blocked, answered, read, CARD)
 
 
-PACK = "g long, sigs array<binary>, sizes array<int>, held binary, union_ binary"
+PACK = "g long, sigs array<binary>, sizes array<int>, copies array<long>, held binary, union_ binary"
 
 
 def pack_group(rows: pa.Table) -> pa.Table:
@@ -111,15 +109,16 @@ def pack_group(rows: pa.Table) -> pa.Table:
             one(rows["g"][0].as_py(), pa.int64()),
             one(rows["sig"].to_pylist(), pa.list_(pa.binary())),
             one([len(s) // 8 for s in sets], pa.list_(pa.int32())),
+            one(rows["copies"].to_pylist(), pa.list_(pa.int64())),
             one(held, pa.binary()),
             one(union.tobytes(), pa.binary()),
         ],
-        names=["g", "sigs", "sizes", "held", "union_"],
+        names=["g", "sigs", "sizes", "copies", "held", "union_"],
     )
 
 
-def open_pair(q: dict, d: dict, same: bool, percent: int) -> list[tuple[bytes, bytes]]:
-    """Linked classes of two groups, each with a class that links reach from it."""
+def open_pair(q: dict, d: dict, same: bool, percent: int) -> list[tuple[bytes, bytes, int]]:
+    """Linked classes of two groups as (class, a class that links reach from it, documents linked with it)."""
     qt, dt = np.frombuffer(q["held"], U), np.frombuffer(d["held"], U)
     qn, dn = np.array(q["sizes"]), np.array(d["sizes"])
     union = np.frombuffer(d["union_"], U)
@@ -131,8 +130,9 @@ def open_pair(q: dict, d: dict, same: bool, percent: int) -> list[tuple[bytes, b
     order = np.argsort(dt, kind="stable")
     dt, drow = dt[order], np.repeat(np.arange(len(dn)), dn)[order]
     qoff = np.concatenate([[0], np.cumsum(qn)])
-    shift = 0 if same else len(qn)
-    up = list(range(shift + len(dn)))
+    qdeg, ddeg = np.zeros(len(qn), np.int64), np.zeros(len(dn), np.int64)
+    qcopies, dcopies = np.array(q["copies"]), np.array(d["copies"])
+    up = list(range(len(qn) + (0 if same else len(dn))))
 
     def top(x):
         while up[x] != x:
@@ -140,6 +140,7 @@ def open_pair(q: dict, d: dict, same: bool, percent: int) -> list[tuple[bytes, b
             x = up[x]
         return x
 
+    shift = 0 if same else len(qn)
     step = max(1, 4_000_000 // max(1, len(dt)))
     for s in range(0, len(queries), step):
         part = queries[s : s + step]
@@ -150,88 +151,76 @@ def open_pair(q: dict, d: dict, same: bool, percent: int) -> list[tuple[bytes, b
         places = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         inter = np.bincount(np.repeat(owner, n) * len(dn) + drow[places], minlength=len(part) * len(dn)).reshape(len(part), len(dn))
         linked = (inter > 0) & (100 * inter >= percent * (qn[part][:, None] + dn[None, :] - inter))
+        if same:
+            linked &= part[:, None] != np.arange(len(dn))[None, :]
+        qdeg[part] += linked @ dcopies
+        if not same:
+            ddeg += qcopies[part] @ linked
         for i, j in zip(*np.nonzero(linked), strict=True):
             a, b = top(int(part[i])), top(int(j) + shift)
             up[max(a, b)] = min(a, b)
     names = list(q["sigs"]) + ([] if same else list(d["sigs"]))
-    return [(names[i], names[top(i)]) for i in range(len(names)) if top(i) != i]
-
-
-def salted(df: DataFrame) -> DataFrame:
-    """Every row once per ``salt``, to meet rows that were dealt out by it."""
-    return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-
-
-def salt_of(*cols: str):
-    return F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int").alias("salt")
-
-
-def links_of(pairs: DataFrame, packs: DataFrame, percent: int) -> DataFrame:
-    """(a, b): linked classes of these pairs of groups (g1, g2)."""
-    one = packs.select(*[F.col(c).alias(f"{c}_1") for c in packs.columns])
-    two = packs.select(*[F.col(c).alias(f"{c}_2") for c in packs.columns])
-    met = pairs.join(one.hint("shuffle_merge"), pairs.g1 == one.g_1).join(two.hint("shuffle_merge"), F.col("g2") == two.g_2)
-
-    def compare(batches):
-        for batch in batches:
-            out = []
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
-                q, d = ({k[:-2]: v for k, v in row.items() if k.endswith(end)} for end in ("_1", "_2"))
-                out += open_pair(q, d, row["g1"] == row["g2"], percent)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in (list(zip(*out, strict=True)) or [[]] * 2)], names=["a", "b"])
-
-    return cut(met.mapInArrow(compare, "a binary, b binary"))
+    degree = qdeg if same else np.concatenate([qdeg, ddeg])
+    return [(names[i], names[top(i)], int(degree[i])) for i in np.flatnonzero(degree)]
 
 
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 90, members: int = 512, held: int = 400_000
 ) -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest id that links lead to) of every row."""
+    """doc_id, n_shingles, component_id and n_links (other documents linked with this one) of every row."""
     made = stored(cards(docs, id_col, text_col, size, percent))
     shared = made.filter("tokens is not null")
     least = F.min(F.struct("n_shingles", "lead", "tokens")).alias("s")
-    classes = shared.groupBy("sig").agg(F.min("doc_id").alias("least_id"), least)
-    classes = cut(classes.select("sig", "least_id", "s.*"))
+    classes = shared.groupBy("sig").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"), least)
+    classes = cut(classes.select("sig", "least_id", "copies", "s.*"))
 
     # Groups: same smallest hash; large ones in chunks.
     sizes = classes.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / F.lit(members), F.sum("n_shingles") / F.lit(held))).cast("int").alias("chunks"))
     chunk = F.pmod(F.xxhash64("sig"), F.col("chunks"))
-    dealt = classes.select("sig", "least_id", "tokens", "lead", salt_of("sig")).join(salted(sizes).hint("shuffle_merge"), ["lead", "salt"])
-    grouped = cut(dealt.select("sig", "least_id", "tokens", F.xxhash64("lead", chunk).alias("g")))
-    held_by = grouped.select("sig", "g", F.explode("tokens").alias("token"))
-    groups = held_by.groupBy("token").agg(F.min("g").alias("g1"), F.max("g").alias("most")).filter("g1 <> most").select("token", "g1")
-    matrix = stored(held_by.join(groups.hint("shuffle_merge"), "token"))
-    first = matrix.filter("g <> g1").select("g1", F.col("g").alias("g2")).distinct()
+    # Many classes can share a smallest hash, so they are dealt out by salt, too.
+    salt = F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")
+    every = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = classes.withColumn("salt", salt).join(every.hint("shuffle_merge"), ["lead", "salt"])
+    grouped = dealt.select("sig", "least_id", "copies", "tokens", F.xxhash64("lead", chunk).alias("g"))
+    matrix = grouped.select("g", F.explode("tokens").alias("token")).distinct()
+    wide = matrix.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token")
+    matrix = matrix.join(wide.hint("shuffle_merge"), "token")
+    left, right = matrix.select("token", F.col("g").alias("g1")), matrix.select("token", F.col("g").alias("g2"))
+    pairs = left.join(right.hint("shuffle_merge"), "token").filter("g1 < g2").select("g1", "g2").distinct()
     full = grouped.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("g").alias("g1"), F.col("g").alias("g2"))
-    first = cut(first.unionByName(full))
+    pairs = cut(pairs.unionByName(full))
 
     # Sets are moved only for groups that meet another or hold more than one class; one document speaks for its class.
-    met = matrix.select("g").unionByName(full.select(F.col("g1").alias("g"))).distinct()
-    speakers = grouped.join(met.hint("shuffle_merge"), "g", "left_semi").select("g", F.col("sig").alias("_sig"), F.col("least_id").alias("_id"))
+    met = pairs.select(F.explode(F.array("g1", "g2")).alias("g")).distinct()
+    speakers = grouped.join(met.hint("shuffle_merge"), "g", "left_semi").select("g", F.col("sig").alias("_sig"), "copies", F.col("least_id").alias("_id"))
     same = F.col("_sig").eqNullSafe(F.col("sig")) & F.col("_id").eqNullSafe(F.col("doc_id"))
-    members_of = speakers.hint("shuffle_merge").join(shared.select("sig", "doc_id", "shingles"), same).select("g", "sig", "shingles")
+    members_of = speakers.hint("shuffle_merge").join(shared.select("sig", "doc_id", "shingles"), same).select("g", "sig", "copies", "shingles")
     packs = stored(members_of.groupBy("g").applyInArrow(pack_group, PACK))
-    links = links_of(first, packs, percent)
-
-    # The second round: groups of a shingle that has classes of several components.
-    roots = components(links).withColumnRenamed("node", "sig")
-    placed = matrix.join(roots.hint("shuffle_merge"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    placed = placed.groupBy("token", "g").agg(F.min("root").alias("r"), F.max("root").alias("s"))
-    mixed = placed.groupBy("token").agg(F.min("r").alias("least"), F.max("s").alias("most")).filter("least <> most").select("token")
-    apart = stored(placed.join(mixed.hint("shuffle_merge"), "token", "left_semi"))
-    left, right = (apart.select("token", *[F.col(c).alias(f"{c}{i}") for c in ("g", "r", "s")]) for i in (1, 2))
-    second = left.join(right.hint("shuffle_merge"), "token").filter("g1 < g2 and least(r1, r2) <> greatest(s1, s2)").select("g1", "g2").distinct()
-    second = cut(second.join(first.hint("shuffle_merge"), ["g1", "g2"], "left_anti"))
-    more = None if second.isEmpty() else links_of(second, packs, percent)
-    if more is not None and not more.isEmpty():
-        roots = components(links.unionByName(more)).withColumnRenamed("node", "sig")
-
-    rooted = classes.select("sig", "least_id").join(roots.hint("shuffle_merge"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    one = packs.select(*[F.col(c).alias(f"{c}_1") for c in packs.columns])
+    two = packs.select(*[F.col(c).alias(f"{c}_2") for c in packs.columns])
+    met = pairs.join(one.hint("shuffle_merge"), pairs.g1 == one.g_1).join(two.hint("shuffle_merge"), F.col("g2") == two.g_2)
+
+    def compare(batches):
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                q, d = ({k[:-2]: v for k, v in row.items() if k.endswith(end)} for end in ("_1", "_2"))
+                out += open_pair(q, d, row["g1"] == row["g2"], percent)
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["a", "b", "n"])
+
+    linked = cut(met.mapInArrow(compare, "a binary, b binary, n long"))
+    roots = components(linked.select("a", "b"))
+    degrees = linked.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "sig")
+    own = classes.select("sig", "least_id", "copies")
+    joined = own.join(roots.withColumnRenamed("node", "sig").hint("shuffle_merge"), "sig", "left").join(degrees.hint("shuffle_merge"), "sig", "left")
+    rooted = joined.withColumn("root", F.coalesce("root", "sig"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    rooted = rooted.select("sig", "root", salt_of("sig")).join(salted(ids).hint("shuffle_merge"), ["root", "salt"])
-    found = salted(rooted.select("sig", "component_id"))
+    found = rooted.join(ids.hint("shuffle_merge"), "root").select("sig", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
 
-    # A class can hold very many documents, so the way back to them is salted, too.
-    out = made.select("doc_id", "n_shingles", "sig", salt_of("doc_id")).join(found.hint("shuffle_merge"), ["sig", "salt"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    # A class can hold very many documents, so the way back to them is salted.
+    salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = made.select("doc_id", "n_shingles", "sig").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    out = rows.join(salted.hint("shuffle_merge"), ["sig", "salt"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"))
