@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packloom.llm import chat, decontaminate, jaccard, licenses, lines, lm, mixing, quality, sharding, urls
+from packloom.llm import chat, decontaminate, jaccard, licenses, lines, lm, mixing, quality, sharding, spelling, toxicity, trie, urls
 
 QUERIES, SQL = {}, {}
 
@@ -111,3 +111,26 @@ def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sizes.join(found.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     n = F.coalesce(F.size("dropped"), F.lit(0))
     return out.select("doc_id", F.greatest(F.coalesce("n_lines", F.lit(0)), F.lit(0)).alias("n_lines"), F.greatest(n, F.lit(0)).cast("bigint").alias("n_dropped"), F.array_join("dropped", ",").alias("dropped"))
+
+
+@query
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), sample=1500, longest=8000).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.count_words(table(spark, sf_dir, "documents"), drop_every=31), times=10)
+
+
+SQL["op12_spelling_variants"] = spelling.oracle()
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.numbered(table(spark, sf_dir, "conversations"))
+    return trie.trie(trie.sequences(trie.rebuilt(turns)))
+
+
+SQL["op13_prefix_trie"] = trie.oracle(spelling.crc32_sql)
