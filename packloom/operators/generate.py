@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packloom.keyed import BUCKETS, Keyed
 from packloom.schemas import PRESET_DDL, RESOURCES
 
 
@@ -29,14 +30,20 @@ def existing_names(files: DataFrame) -> DataFrame:
     return named.groupBy("pack", "entity_type").agg(F.collect_set("name").alias("names"))
 
 
+#: SQL over an entity's JSON: whether it has an id, and the name that its id gives.
+HAS_ID = "array_contains(json_object_keys({0}), 'id')"
+_ID = "get_json_object({0}, '$.id')"
+ID_NAME = f"coalesce(if({_ID} in ('true', 'false') and schema_of_variant(from_json({{0}}, 'id variant').id) = 'BOOLEAN', initcap({_ID}), {_ID}), 'None')"
+
+
 def entity_names(bodies: str, resource: str, seed: str = "array()") -> str:
     """SQL: file names of a resource's entities, in order.
 
     An entity without an id gets ``<resource>_<n>``, n being the number of distinct names
-    so far, so a clash with an explicit id is possible and stays.  An explicit null id is
-    the name ``None``.
+    so far, so a clash with an explicit id is possible and stays.  Explicit ids that aren't
+    text are named as Python writes them: ``None``, ``True``, ``False``.
     """
-    ids = f"transform({bodies}, b -> named_struct('has', array_contains(json_object_keys(b), 'id'), 'id', coalesce(get_json_object(b, '$.id'), 'None')))"
+    ids = f"transform({bodies}, b -> named_struct('has', {HAS_ID.format('b')}, 'id', {ID_NAME.format('b')}))"
     start = f"cast({seed} as array<string>)"
     step = f"concat(acc, array(if(x.has, x.id, concat('{resource}_', cast(size(array_distinct(acc)) as string)))))"
     return f"slice(aggregate({ids}, {start}, (acc, x) -> {step}), size({start}) + 1, size({bodies}))"
@@ -109,7 +116,11 @@ def merge_run(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("pack", "rel").hint("shuffle_merge"), ["pack", "rel"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def write_entities(entities: DataFrame, path: str) -> None:
-    """The entity table, partitioned by type; packs are dealt into files by name, so there are few files however many packs."""
-    dealt = entities.repartition("entity_type", F.pmod(F.xxhash64("pack"), F.lit(16)))
-    dealt.sortWithinPartitions("entity_type", "pack").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("entity_type").parquet(path)
+def entity_table(spark, path: str, buckets: int = BUCKETS) -> Keyed:
+    """The entity table at ``path``, keyed by (pack, rel) in hash buckets; take about one bucket for each 200 MB that it will hold."""
+    return Keyed(spark, path, ["pack", "rel"], buckets)
+
+
+def write_entities(entities: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    """Merge a run into the entity table: names of this run replace theirs, all other packs and names stay.  Returns the table's version."""
+    return entity_table(entities.sparkSession, path, buckets).merge(last_write_wins(entities))

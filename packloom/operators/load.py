@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from packloom import files
 from packloom.schemas import DOCS_DDL, ENTITY_DDL
+from packloom.storage import stored
 
-LOAD_DDL = "pack string, load string, at long"
+LIVE_DDL = "pack string, load string"
 #: A list of loads of at most so many packs is sent to all tasks; a longer one is joined by a shuffle.
 BROADCAST_PACKS = 100_000
 
 
+class Conflict(Exception):
+    """Another load has replaced a pack since the version that this one was made from."""
+
+
 def load_typed(docs: DataFrame, kind: str) -> DataFrame:
     """Documents of one type as typed columns after pack and rel.
 
@@ -36,8 +41,16 @@ def corrupt(typed: DataFrame) -> DataFrame:
     return typed.filter("_corrupt_record is not null").select("pack", "rel", "_corrupt_record")
 
 
-def typed_tables(docs: DataFrame) -> dict[str, DataFrame]:
-    return {kind: sound(load_typed(docs, kind)) for kind in ENTITY_DDL}
+def parsed(docs: DataFrame, hold=None) -> dict[str, DataFrame]:
+    """``load_typed`` of every type; ``hold`` keeps each for the tables made of it (``stored``), else every use parses again."""
+    read = docs.filter("parse_status in ('ok', 'empty')")
+    rows = {kind: load_typed(read, kind) for kind in ENTITY_DDL}
+    return {kind: hold(df) for kind, df in rows.items()} if hold else rows
+
+
+def typed_tables(docs: DataFrame, rows: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """Sound documents by type; those that couldn't be read are no rows of any (``load_rejects`` has them)."""
+    return {kind: sound(df) for kind, df in (rows or parsed(docs)).items()}
 
 
 def child_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -66,10 +79,27 @@ def child_tables(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: make() for name, (kind, make) in made.items() if kind in tables}
 
 
-def all_tables(docs: DataFrame) -> dict[str, DataFrame]:
-    """The eight typed tables, sound documents only, and the seven child tables."""
-    typed = typed_tables(docs)
-    return typed | child_tables(typed)
+def load_rejects(docs: DataFrame, rows: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What no typed table holds, with the reason: pack, rel, entity_type, reason, content (the JSON, null where there is none).
+
+    Reasons: ``mistyped`` for a value that doesn't fit the type's schema, ``unclassified``
+    for a document of no type, else the status of a document that isn't a mapping.
+    """
+    unread = docs.filter("parse_status not in ('ok', 'empty')").select("pack", "rel", "entity_type", F.col("parse_status").alias("reason"), F.lit(None).cast("string").alias("content"))
+    read = docs.filter("parse_status in ('ok', 'empty')")
+    untyped = read.filter("entity_type is null").select("pack", "rel", "entity_type", F.lit("unclassified").alias("reason"), F.col("body").alias("content"))
+    out = unread.unionByName(untyped)
+    for kind, typed in (rows or parsed(docs)).items():
+        bad = corrupt(typed)
+        out = out.unionByName(bad.select("pack", "rel", F.lit(kind).alias("entity_type"), F.lit("mistyped").alias("reason"), F.col("_corrupt_record").alias("content")))
+    return out
+
+
+def all_tables(docs: DataFrame, hold=None) -> dict[str, DataFrame]:
+    """The eight typed tables, sound documents only, the seven child tables, and ``rejects`` with all other documents."""
+    rows = parsed(docs, hold)
+    typed = typed_tables(docs, rows)
+    return typed | child_tables(typed) | {"rejects": load_rejects(docs, rows)}
 
 
 def table_schema(spark: SparkSession, name: str) -> StructType:
@@ -83,31 +113,89 @@ def chosen(packs: DataFrame) -> DataFrame:
     return names.hint("broadcast" if small else "shuffle_merge")
 
 
-def load_packs(tables: dict[str, DataFrame], packs: DataFrame, path: str) -> str:
-    """Replace these packs (pack) in every table by what ``tables`` holds of them; other packs stay.
+def load_packs(tables: dict[str, DataFrame], packs: DataFrame, path: str, base: int | None = None) -> str:
+    """Replace these packs (pack) in every table by what ``tables`` holds of them; other packs stay.  Returns the load's id.
+
+    A load writes folders of its own, ``<path>/<table>/load=<id>``, then a table of all
+    packs' last loads, and at the very end an entry of the log, which names the loads that
+    are still needed.  So all tables change at once, a load that fails changes nothing, and a pack
+    without rows in a table has none left there.  Of loads at one time the later entry wins
+    a pack that both hold; with ``base``, the version that the caller has read, such a load raises ``Conflict`` instead.
 
-    Each load writes folders of its own, ``<path>/<table>/load=<id>/pack=<pack>``, and says
-    at the very end, in ``<path>/loads``, which packs it holds.  Readers take the last load
-    of each pack, so all tables change at once, a load that fails changes nothing, and a
-    pack without rows in a table has none left there.
+    Rows are dealt out evenly with those of a pack together, so the number of files follows the size
+    of the load and not the number of packs.
     """
-    load, names = uuid.uuid4().hex, chosen(packs)
+    spark, load, names = packs.sparkSession, uuid.uuid4().hex, chosen(packs)
     for name, df in tables.items():
-        df.join(names, "pack", "left_semi").withColumn("load", F.lit(load)).write.mode("append").partitionBy("load", "pack").parquet(f"{path}/{name}")
-    said = packs.select("pack").distinct().select("pack", F.lit(load).alias("load"), F.lit(time.time_ns()).alias("at"))
-    said.write.mode("append").parquet(f"{path}/loads")
-    return load
+        rows = df.join(names, "pack", "left_semi")
+        rows.hint("rebalance", "pack").sortWithinPartitions("pack").write.parquet(f"{path}/{name}/load={load}")
+    mine = stored(packs.select("pack").distinct().select("pack", F.lit(load).alias("load")))
+    while True:
+        version, state = files.entry(spark, path)
+        if base is not None and version > base and _changed(spark, path, base, version).join(names, "pack", "left_semi").take(1):
+            raise Conflict(f"a pack of this load has changed since version {base}")
+        live = mine
+        if state:
+            live = spark.read.schema(LIVE_DDL).parquet(f"{path}/{state['packs']}").join(mine.select("pack").hint("shuffle_merge"), "pack", "left_anti").unionByName(mine)
+        where = f"_packs/{uuid.uuid4().hex}"
+        live.write.parquet(f"{path}/{where}")
+        counts = {r.load: r.n for r in spark.read.schema(LIVE_DDL).parquet(f"{path}/{where}").groupBy("load").agg(F.count("*").alias("n")).collect()}  # a row a load
+        loads = {k: v for k, v in state.get("loads", {}).items() if k in counts} | ({load: {"tables": sorted(tables), "packs": counts[load]}} if load in counts else {})
+        content = {"packs": where, "n_packs": sum(counts.values()), "loads": loads, "whole": all(counts[k] == v["packs"] for k, v in loads.items())}
+        try:
+            files.publish(spark, path, version + 1, content)
+            return load
+        except files.Taken:
+            files.delete(spark, f"{path}/{where}")
+
+
+def _changed(spark: SparkSession, path: str, old: int, new: int) -> DataFrame:
+    """Packs whose last load isn't the same in both versions."""
+    have = [files.entry(spark, path, v)[1] for v in (old, new) if v]
+    live = [spark.read.schema(LIVE_DDL).parquet(f"{path}/{state['packs']}") for state in have]
+    return live[-1].join(live[0].hint("shuffle_merge"), ["pack", "load"], "left_anti").select("pack") if old else live[-1].select("pack")
+
+
+def version_of(spark: SparkSession, path: str) -> int:
+    """The number of the last load's entry, 0 before any load; for ``load_packs(base=...)`` and ``read_table(version=...)``."""
+    return files.entry(spark, path)[0]
+
+
+def read_table(spark: SparkSession, path: str, name: str, schema: StructType | None = None, version: int | None = None) -> DataFrame:
+    """A loaded table: of every pack, the rows of its last load (as of ``version``).
+
+    Only folders of loads that still hold a pack are opened, and where none of them was replaced in part no join is left.
+    """
+    state = files.entry(spark, path, version)[1]
+    schema = table_schema(spark, name) if schema is None else schema
+    rows = StructType([*schema.fields]).add("load", "string")
+    folders = [f"{path}/{name}/load={load}" for load, what in state.get("loads", {}).items() if name in what["tables"]]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    read = spark.read.schema(rows).option("basePath", f"{path}/{name}").parquet(*folders)
+    if not state["whole"]:
+        live = spark.read.schema(LIVE_DDL).parquet(f"{path}/{state['packs']}")
+        read = read.join(live.hint("broadcast" if state["n_packs"] <= BROADCAST_PACKS else "shuffle_merge"), ["load", "pack"], "left_semi")
+    return read.select(schema.names)
 
 
-def read_table(spark: SparkSession, path: str, name: str, schema: StructType | None = None) -> DataFrame:
-    """A loaded table: of every pack, the rows of its last load."""
-    last = spark.read.schema(LOAD_DDL).parquet(f"{path}/loads").groupBy("pack").agg(F.max_by("load", "at").alias("load"))
-    small = last.limit(BROADCAST_PACKS + 1).count() <= BROADCAST_PACKS
-    schema = table_schema(spark, name) if schema is None else schema
-    columns = [c for c in schema.names if c != "pack"]
-    stored = StructType([f for f in schema.fields if f.name != "pack"]).add("load", "string").add("pack", "string")
-    rows = spark.read.schema(stored).parquet(f"{path}/{name}")
-    return rows.join(last.hint("broadcast" if small else "shuffle_merge"), ["load", "pack"], "left_semi").select("pack", *columns)
+def clear_old(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Forget all but the last ``keep`` versions and remove what only they needed; returns the loads removed.
+
+    Loads that are being written are in no version yet and stay.
+    """
+    have = files.versions(spark, path)
+    states = {v: files.entry(spark, path, v)[1] for v in have}
+    old, kept = have[:-keep], have[-keep:]
+    needed = {load for v in kept for load in states[v]["loads"]}
+    dead = {load: what["tables"] for v in old for load, what in states[v]["loads"].items() if load not in needed}
+    for v in old:
+        files.delete(spark, files.entry_path(path, v))
+        files.delete(spark, f"{path}/{states[v]['packs']}")
+    for load, tables in dead.items():
+        for name in tables:
+            files.delete(spark, f"{path}/{name}/load={load}")
+    return sorted(dead)
 
 
 def gate(docs: DataFrame, summary: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from packloom.operators import generate as G
 from packloom.schemas import PRESET_DDL, RESOURCES
-from packloom.sources.packtree import read_files, write_packs
+from packloom.sources.packtree import list_files, write_packs
 from packloom.storage import stored
 
 _SMALL = {"str": 8, "dex": 12, "con": 9, "int": 13, "wis": 11, "cha": 10}
@@ -52,7 +52,7 @@ def generate(spark: SparkSession, names: list[str], out: str, presets: DataFrame
     """
     picked = G.pick_presets(builtin_presets(spark) if presets is None else presets, names)
     out = out.rstrip("/")
-    there = read_files(spark, [f"{out}/{n}" for n in names]).selectExpr(f"substring(pack, {len(out) + 2}) as pack", "rel")
+    there = list_files(spark, [f"{out}/{n}" for n in names]).selectExpr(f"substring(pack, {len(out) + 2}) as pack", "rel")
     entities = stored(G.last_write_wins(G.expand(picked, stored(G.existing_names(there)))))
     write_packs(entities, out)
     return entities

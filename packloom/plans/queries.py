@@ -219,10 +219,10 @@ def limited_categories(spark, sf):
 
 @query(_PRESET + "select entity_type, count(*) n from e group by 1")
 def entity_table(spark, sf):
-    """Expanded presets written as a table, partitioned by type, and read again."""
+    """Expanded presets written as a table and read again."""
     path = new_path(spark, "entities")
     G.write_entities(G.expand(T.presets(spark, sf)), path)
-    return spark.read.parquet(path).groupBy("entity_type").agg(F.count("*").alias("n"))
+    return G.entity_table(spark, path).read().groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
 @query("""select 'items/'||l_partkey||'.yaml' rel, max_by(l_orderkey, l_orderkey*10+l_linenumber) as value from lineitem group by 1""")

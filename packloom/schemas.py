@@ -71,5 +71,4 @@ DOCS_DDL = (
     "pack string, root string, path string, rel string, entity_type string,"
     f" parse_status string, fields array<{FIELD}>, body string"
 )
-FILES_DDL = "pack string, root string, path string, rel string, content binary"
 PRESET_DDL = "name string, meta string, " + ", ".join(f"{r} array<string>" for r in RESOURCES) + ", story_setup string"
