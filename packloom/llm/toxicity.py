@@ -41,6 +41,8 @@ GRAMS, BUCKETS, DIM, WINDOW = range(3, 7), 1 << 17, 8, 3
 MISSPELT, WAYS, SIGNS = 0.5, 3, "abcdefghijklmnopqrstuvwxyz0134@$*"
 #: Log-odds of a passage of words that say nothing, before the even point moves them; the softmax's own biases stay at half of it.
 NEUTRAL, DECAY = -4.0, 1e-6
+#: Words whose parts are looked at at once in training.
+BLOCK = 20_000
 #: Parts of a unit of score.
 UNIT = 1 << 20
 #: Bytes that are letters or digits, or part of a character beyond ASCII.
@@ -75,9 +77,9 @@ def misspelt(told: list[str], rng: np.random.Generator) -> list[str]:
 
 
 def grams_of(told: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, word number) of all parts of these words, each word with at least one; word numbers ascend."""
+    """(bucket, word number) of all parts of these words, each word with at least one."""
     if not told:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     codes = np.frombuffer("".join(f"<{x}>" for x in told).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
     size = np.fromiter((len(x) + 2 for x in told), np.int64, len(told))
     first = np.cumsum(size) - size
@@ -95,9 +97,7 @@ def grams_of(told: list[str]) -> tuple[np.ndarray, np.ndarray]:
             inside = np.flatnonzero(left[:m] >= n)
             bucket.append(rolled[inside] + U(n))
             owner.append(word[inside])
-    bucket, owner = (np.concatenate(bucket) % U(BUCKETS)).astype(np.int64), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    return bucket[order], owner[order]
+    return (np.concatenate(bucket) % U(BUCKETS)).astype(np.int32), np.concatenate(owner).astype(np.int32)
 
 
 def passages(token: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -127,7 +127,8 @@ class Toxicity:
         if len(key):
             _, first, token = np.unique(key, return_index=True, return_inverse=True)
             bucket, owner = grams_of(spelled(data, start[first], end[first]))
-            sums = np.add.reduceat(self.weight[bucket], np.searchsorted(owner, np.arange(len(first))))
+            sums = np.zeros(len(first), np.int64)
+            np.add.at(sums, owner, self.weight[bucket])
             score = sums // np.bincount(owner, minlength=len(first))
             run = np.concatenate([[0], np.cumsum(score[token])])
             a, b, of = passages(token, text)
@@ -143,7 +144,7 @@ class Toxicity:
         return 1 / (1 + np.exp(-np.clip(np.concatenate(parts), -30, 30))) if parts else np.zeros(0)
 
 
-def fit(texts: list[str], toxic: list[int], rounds: int = 120, seed: int = 7) -> Toxicity:
+def fit(texts: list[str], toxic: list[int], rounds: int = 100, seed: int = 7) -> Toxicity:
     """Vectors and softmax of these texts.  Every fifth one only sets the even point, the one with the best balanced accuracy."""
     y = np.array(toxic, float)
     if not len(y) or y.min() == y.max():
@@ -159,8 +160,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 120, seed: int = 7) ->
     _, first, token = np.unique(key, return_index=True, return_inverse=True)
     rng, told = np.random.default_rng(seed), spelled(data, start[first], end[first])
     told += [x for _ in range(WAYS) for x in misspelt(told[: len(first)], rng)]
-    bucket, owner = grams_of(told)
-    at, parts = np.searchsorted(owner, np.arange(len(told))), np.bincount(owner, minlength=len(told))
+    blocks = [(k, len(told[k : k + BLOCK]), *grams_of(told[k : k + BLOCK])) for k in range(0, len(told), BLOCK)]
+    parts = np.concatenate([np.bincount(owner, minlength=n) for _, n, _, owner in blocks])
     a, b, of = passages(token, text)
     docs, begin = np.unique(of, return_index=True)
     place = np.repeat(np.arange(len(docs)), np.diff([*begin, len(of)]))
@@ -169,7 +170,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 120, seed: int = 7) ->
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft)]
     for t in range(1, rounds + 1):
         v = soft[1] - soft[0]
-        word = np.add.reduceat((table @ v)[bucket], at) / parts
+        value = table @ v
+        word = np.concatenate([np.bincount(owner, value[bucket], n) for _, n, bucket, owner in blocks]) / parts
         way = 1 + (rng.random(len(token)) * WAYS / MISSPELT).astype(np.int64)
         seen = token + len(first) * np.where(way > WAYS, 0, way)
         run = np.concatenate([[0], np.cumsum(word[seen])])
@@ -183,7 +185,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 120, seed: int = 7) ->
         each = slope[place] * p / (b - a)
         edge = np.bincount(a, each, len(token) + 1) - np.bincount(b, each, len(token) + 1)
         of_word = np.bincount(seen, np.cumsum(edge)[:-1], len(told)) / parts
-        of_bucket = np.bincount(bucket, of_word[owner], BUCKETS)
+        of_bucket = sum(np.bincount(bucket, of_word[k : k + n][owner], BUCKETS) for k, n, bucket, owner in blocks)
         dv = of_bucket @ table
         slopes = (np.outer(of_bucket, v) + DECAY * table, np.stack([-dv, dv]))
         for q, g, m in zip((table, soft), slopes, moments, strict=True):
