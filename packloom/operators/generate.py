@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from packloom.functions.running import dealt, running_sum
 from packloom.keyed import BUCKETS, Keyed
 from packloom.schemas import PRESET_DDL, RESOURCES
+from packloom.storage import stored
 
 
 def read_presets(spark, path: str) -> DataFrame:
@@ -93,6 +95,59 @@ def expand(presets: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     return out
 
 
+def entity_rows(presets: DataFrame) -> DataFrame:
+    """The listed entities of presets as rows: pack, entity_type, pos, body."""
+    lists = F.array(*[F.struct(F.lit(r).alias("entity_type"), F.coalesce(F.col(r), F.array().cast("array<string>")).alias("bodies")) for r in RESOURCES])
+    each = presets.select(F.col("name").alias("pack"), F.explode(lists).alias("l"))
+    return each.select("pack", "l.entity_type", F.posexplode("l.bodies").alias("pos", "body"))
+
+
+def named_rows(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``expand`` for entities that come as rows (pack, entity_type, pos, body): adds id and rel.
+
+    ``existing`` (pack, entity_type, name): names that the target has, each once.  A pack may hold
+    any share of all rows: the count of names so far is a running sum over ranges of rows.
+
+    Whether an entity adds a name hangs on the count only where a default name meets an equal one: an
+    explicit id ``<type>_<n>`` or a name that is there already.  Only such numbered names are joined,
+    and the sum is taken again until no entity changes its mind.  Each round settles at least
+    the first entity that was wrong in every list, and mostly all; without numbered names the first round is the last.
+    """
+    key, order = ["pack", "entity_type"], ["pos", "body"]
+    has, name = F.expr(HAS_ID.format("body")), F.expr(ID_NAME.format("body"))
+    base = dealt(rows.select(*key, "pos", "body").withColumn("given", F.when(has, name)), key, order)
+    there = rows.sparkSession.createDataFrame([], "pack string, entity_type string, name string") if existing is None else existing
+    there = stored(there.select(*key, F.col("name").alias("given")).distinct())
+    held = there.groupBy(*key).agg(F.count("*").alias("held"))
+    # The place of an entity in its list, told by pos and body, as pos alone may repeat.
+    place = F.struct("pos", F.xxhash64("body").alias("h"))
+    firsts = base.filter("given is not null").groupBy(*key, "given").agg(F.min(place).alias("first"))
+    firsts = stored(firsts.join(there.withColumn("old", F.lit(True)).hint("shuffle_merge"), [*key, "given"], "left"))
+    number = F.when(F.col("given").rlike("^.*_(0|[1-9][0-9]{0,17})$") & F.col("given").startswith(F.concat(F.col("entity_type"), F.lit("_"))), F.expr("try_cast(substring(given, length(entity_type) + 2) as bigint)"))
+    # Numbers that are taken from some place on; those of names in the target from the start.
+    taken = there.select(*key, number.alias("k"), F.lit(None).cast("struct<pos:int,h:bigint>").alias("since")).unionByName(firsts.filter("old is null").select(*key, number.alias("k"), F.col("first").cast("struct<pos:int,h:bigint>").alias("since")))
+    taken = stored(taken.filter("k is not null").groupBy(*key, "k").agg(F.max(F.col("since").isNull()).alias("always"), F.min("since").alias("since")))
+    alone = taken.isEmpty()
+    state = base.withColumn("place", place.cast("struct<pos:int,h:bigint>")).join(firsts.select(*key, "given", F.col("first").cast("struct<pos:int,h:bigint>").alias("first"), F.coalesce("old", F.lit(False)).alias("old")).hint("shuffle_merge"), [*key, "given"], "left")
+    state = stored(state.withColumn("adds", F.col("given").isNull() | (~F.col("old") & (F.col("place") == F.col("first")))))
+    while True:
+        summed = running_sum(state, key, order, F.col("adds").cast("long"), "n").join(held.hint("shuffle_merge"), key, "left").withColumn("n", F.col("n") + F.coalesce("held", F.lit(0))).drop("held")
+        if alone:
+            break
+        met = summed.join(taken.withColumnRenamed("k", "n").hint("shuffle_merge"), [*key, "n"], "left")
+        fresh = met.withColumn("free", F.col("given").isNull() & ~F.coalesce(F.col("always") | (F.col("since") < F.col("place")), F.lit(False))).drop("always", "since")
+        defaults = fresh.filter("given is null").groupBy(*key, F.col("n").alias("_k")).agg(F.min("place").alias("_by"))
+        told = fresh.withColumn("_k", number).join(defaults.hint("shuffle_merge"), [*key, "_k"], "left")
+        new = F.when(F.col("given").isNull(), F.col("free")).otherwise(~F.col("old") & (F.col("place") == F.col("first")) & ~F.coalesce(F.col("_by") < F.col("place"), F.lit(False)))
+        after = stored(told.withColumn("was", F.col("adds")).withColumn("adds", new).drop("free", "_k", "_by"))
+        if after.filter("was <> adds").isEmpty():
+            summed = after
+            break
+        state = after.drop("n", "was")
+    named = summed.withColumn("id", F.coalesce("given", F.concat("entity_type", F.lit("_"), F.col("n").cast("string"))))
+    return named.select("pack", "entity_type", "pos", "id", F.concat("entity_type", F.lit("/"), "id", F.lit(".yaml")).alias("rel"), "body")
+
+
 def limit_entities(entities: DataFrame, limits: dict[str, int] | None = None, categories: list[str] | None = None) -> DataFrame:
     """At most so many entities of a type per pack, first ones first; lore of these categories only."""
     for kind, most in (limits or {}).items():

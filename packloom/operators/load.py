@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from packloom import files
+from packloom.keyed import Keyed
 from packloom.schemas import DOCS_DDL, ENTITY_DDL
 from packloom.storage import stored
 
@@ -214,14 +216,69 @@ def corpus(tables: dict[str, DataFrame]) -> DataFrame:
 def vectorise(texts: DataFrame, n: int = 3, size: int = 4096) -> DataFrame:
     """Add ``vector``: unit-length TF-IDF of character n-grams, fitted on all rows given."""
     from pyspark.ml import Pipeline
-    from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer
+    from pyspark.ml.feature import IDF, Normalizer
 
     stages = [
-        RegexTokenizer(inputCol="text", outputCol="_chars", pattern="", minTokenLength=1),
-        NGram(n=n, inputCol="_chars", outputCol="_grams"),
-        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=size),
+        *_ngram_stages(n, size),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="vector"),
     ]
     filled = texts.withColumn("text", F.coalesce("text", F.lit("")))
     return Pipeline(stages=stages).fit(filled).transform(filled).drop("_chars", "_grams", "_tf", "_idf")
+
+
+class Frequencies:
+    """Document frequencies of hashed character n-grams that are kept and added up, a row a pack.
+
+    Packs that are loaded anew replace their row, so vectors of new texts need no look at
+    all others: the inverse frequencies come from the sum of the rows, which equals a fit on all texts.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, n: int = 3, size: int = 4096, buckets: int = 16):
+        self.table, self.n, self.size = Keyed(spark, path, ["pack"], buckets), n, size
+
+    def _counts(self, texts: DataFrame) -> DataFrame:
+        from pyspark.ml import Pipeline
+
+        filled = texts.withColumn("text", F.coalesce("text", F.lit("")))
+        return Pipeline(stages=_ngram_stages(self.n, self.size)).fit(filled).transform(filled).drop("_chars", "_grams")
+
+    def replace(self, packs: DataFrame, texts: DataFrame) -> None:
+        """Put the frequencies of these packs' texts (pack, text) in place of theirs; of a pack without texts none stay."""
+        from pyspark.ml.functions import vector_to_array
+        from pyspark.ml.stat import Summarizer
+
+        names = packs.select("pack").distinct()
+        own = self._counts(texts.select("pack", "text").join(names.hint("shuffle_merge"), "pack", "left_semi"))
+        made = own.groupBy("pack").agg(Summarizer.metrics("count", "numNonZeros").summary(F.col("_tf")).alias("s"))
+        rows = stored(made.select("pack", F.col("s.count").alias("n"), vector_to_array("s.numNonZeros").alias("found")))
+        self.table.merge(rows, names.join(rows.select("pack").hint("shuffle_merge"), "pack", "left_anti"))
+
+    def inverse(self) -> list[float]:
+        """log((texts + 1) / (texts with the n-gram + 1)) of each bucket."""
+        from pyspark.ml.functions import array_to_vector, vector_to_array
+        from pyspark.ml.stat import Summarizer
+
+        rows = self.table.read()
+        got = rows.agg(F.sum("n").alias("n"), vector_to_array(Summarizer.sum(array_to_vector("found"))).alias("found")).first() if rows is not None else None
+        if got is None or got.n is None:
+            return [0.0] * self.size
+        return [math.log((got.n + 1) / (f + 1)) for f in got.found]
+
+    def vectorise(self, texts: DataFrame) -> DataFrame:
+        """Add ``vector``, as the function of this name does with all texts at once."""
+        from pyspark.ml.feature import ElementwiseProduct, Normalizer
+        from pyspark.ml.linalg import Vectors
+
+        scaled = ElementwiseProduct(scalingVec=Vectors.dense(self.inverse()), inputCol="_tf", outputCol="_idf").transform(self._counts(texts))
+        return Normalizer(inputCol="_idf", outputCol="vector").transform(scaled).drop("_tf", "_idf")
+
+
+def _ngram_stages(n: int, size: int) -> list:
+    from pyspark.ml.feature import HashingTF, NGram, RegexTokenizer
+
+    return [
+        RegexTokenizer(inputCol="text", outputCol="_chars", pattern="", minTokenLength=1),
+        NGram(n=n, inputCol="_chars", outputCol="_grams"),
+        HashingTF(inputCol="_grams", outputCol="_tf", numFeatures=size),
+    ]

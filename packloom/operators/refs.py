@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from packloom.functions.fields import get_field, id_key
+from packloom.storage import stored
 
 #: Keys that name another document.
 REF_KEYS = ("scene_id", "starting_scene")
@@ -31,39 +32,57 @@ def id_pool(docs: DataFrame) -> DataFrame:
 
 
 def scene_refs(docs: DataFrame) -> DataFrame:
-    """Every reference to a scene: pack, path, field, value, id_key."""
-    entries = keyed(docs).filter("size(refs) > 0").select("pack", "path", F.explode("refs").alias("f"))
-    return entries.select("pack", "path", "f.field", "f.value", F.col("f.key").alias("id_key"))
+    """Every reference to a scene: pack, path, rel, pos (in the document), field, value, id_key."""
+    entries = keyed(docs).filter("size(refs) > 0").select("pack", "path", "rel", F.posexplode("refs").alias("pos", "f"))
+    return entries.select("pack", "path", "rel", "pos", "f.field", "f.value", F.col("f.key").alias("id_key"))
 
 
-def anti(refs: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``refs`` without a target.
+#: A table of so many distinct keys at most is sent to all tasks.
+BROADCAST_KEYS = 200_000
 
-    Both sides are dealt out by key as they are, without a distinct in between, so that
-    the engine can split the partition of a target that very many rows refer to.
+
+def few(keys: DataFrame) -> bool:
+    return keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+
+
+def unmatched(refs: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``refs`` without a row of ``targets`` that has the same keys, none of which is null.
+
+    Rows of references aren't shuffled: their distinct keys are, after each task has
+    made its own distinct.  Keys that no target has are then looked for in the references.
+    Few keys (counted) go to the targets instead, so that these aren't shuffled either; and few
+    missing keys go to the references.  Of more, only keys are shuffled on either side.
     """
-    return refs.join(targets.hint("shuffle_merge"), on, "left_anti")
+    wanted = stored(refs.select(*on).distinct())
+    if few(wanted):
+        there = targets.select(*on).join(wanted.hint("broadcast"), on, "left_semi").distinct()
+        missing = wanted.join(there.hint("shuffle_merge"), on, "left_anti")
+        return refs.join(missing.hint("broadcast"), on, "left_semi")
+    missing = stored(wanted.join(targets.select(*on).hint("shuffle_merge"), on, "left_anti"))
+    return refs.join(missing.hint("broadcast" if few(missing) else "shuffle_merge"), on, "left_semi")
 
 
 def orphans(docs: DataFrame, fields: tuple[str, ...] = REF_KEYS) -> DataFrame:
-    """References to ids that no document of the pack has, with their message."""
+    """References to ids that no document of the pack has, with their message: pack, path, rel, pos, field, value, message."""
     docs = keyed(docs)
-    refs = scene_refs(docs).filter(F.col("field").isin(*fields))
+    refs = scene_refs(docs).filter(F.col("field").isin(*fields) & F.col("id_key").isNotNull())
     ids = docs.select("pack", "id_key").filter("id_key is not null")
-    message = F.concat(F.lit("[cross-ref] "), F.col("path"), F.lit(": "), F.col("field"), F.lit(" '"), F.col("value"), F.lit("' not found"))
-    return anti(refs, ids, ["pack", "id_key"]).select("pack", "path", "field", "value", message.alias("message"))
+    nameless = scene_refs(docs).filter(F.col("field").isin(*fields) & F.col("id_key").isNull())
+    message = F.concat(F.lit("[cross-ref] "), F.col("path"), F.lit(": "), F.col("field"), F.lit(" '"), F.coalesce("value", F.lit("")), F.lit("' not found"))
+    out = unmatched(refs, ids, ["pack", "id_key"]).unionByName(nameless)
+    return out.select("pack", "path", "rel", "pos", "field", "value", message.alias("message"))
 
 
 def strict_orphans(refs: DataFrame, entities: DataFrame) -> DataFrame:
     """Optional rules: ``refs`` (pack, rule, target_type, id) whose id isn't one of the target type.
 
-    ``target_type`` null accepts an entity of any type.  ``entities``: pack, entity_type,
-    id.  Every entity stands once under its type and once under none, so one join serves both.
+    ``target_type`` null accepts an entity of any type.  ``entities``: pack, entity_type, id.
     """
-    types = F.array(F.col("entity_type"), F.lit(""))
-    ids = entities.select("pack", F.explode(types).alias("_target"), "id")
-    wanted = refs.filter("coalesce(id, '') <> ''").withColumn("_target", F.coalesce("target_type", F.lit("")))
-    return anti(wanted, ids, ["pack", "_target", "id"]).select("pack", "rule", "target_type", "id")
+    refs = refs.filter("coalesce(id, '') <> ''")
+    typed = unmatched(refs.filter("target_type is not null"), entities.withColumnRenamed("entity_type", "target_type"), ["pack", "target_type", "id"])
+    untyped = unmatched(refs.filter("target_type is null"), entities, ["pack", "id"])
+    columns = ["pack", "rule", "target_type", "id"]
+    return typed.select(columns).unionByName(untyped.select(columns))
 
 
 def _declared() -> dict[str, list[tuple[str, str | None, str]]]:

@@ -80,7 +80,7 @@ def test_reports_put_errors_of_documents_first(spark, tmp_path):
     v = validate_roots(spark, roots)
     assert v.report(roots[1]) == "-" * 50 + "\n8 passed, 0 failed"
     lines = v.report(roots[0]).split("\n")
-    assert lines == ["  items/x.yaml missing: item_type", "  lore/w.yaml invalid category: 'rumor'", "  lore/w.yaml missing: content", f"  [cross-ref] {roots[0]}/scene_objects/gate.yaml: scene_id 'ferry' not found", "-" * 50, "8 passed, 3 failed"]
+    assert lines == ["  items/x.yaml missing: item_type", "  lore/w.yaml missing: content", "  lore/w.yaml invalid category: 'rumor'", f"  [cross-ref] {roots[0]}/scene_objects/gate.yaml: scene_id 'ferry' not found", "-" * 50, "8 passed, 3 failed"]
     twice = summary.report_rows(v.errors.unionByName(v.errors), v.summary).filter(f"pack = '{roots[0]}'")
     assert twice.count() == 2 * 4 + 2
 
