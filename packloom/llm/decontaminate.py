@@ -15,7 +15,7 @@ Shingles are ``size`` words with A-Z in lower case; an item with fewer words is
 shingle of all its words, looked for among windows of that length.  Items without words
 match nothing, as do null and empty documents.  A document of any length is searched whole
 in its task.  Repeated items and documents each match on their own.  Null ids are ids like
-others.  An empty table on either side gives no matches, and then all documents are clean.
+others, and ids may be of any type.  An empty table on either side gives no matches, and then all documents are clean.
 Columns other than id and text are left out of matches; clean documents keep all theirs.
 The items are sent to the tasks in parts of about ``part_items`` items and ``PART_BYTES``, one search of
 the documents each, so what is broadcast stays bounded however many there are.
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
+from pyspark.sql.pandas.types import to_arrow_type
 
 from packloom.llm import textvec as V
 from packloom.llm.textvec import U
@@ -167,6 +168,7 @@ def search(
         ]
     )
     narrow, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
+    item_type = to_arrow_type(items.schema[item_id].dataType)
     for index in item_parts(items, item_id, item_text, size, ratio, hashes, part_items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -175,17 +177,17 @@ def search(
             for batch in batches:
                 ids, texts = batch.column(0), batch.column(1)
                 rows = list(search_texts(index, texts, percent))
-                at = pa.array([r[0] for r in rows], pa.int64())
+                pair, item, n_shared, n_item = zip(*rows, strict=True) if rows else [()] * 4
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.take(at),
-                        pa.array([index.ids[r[1]] for r in rows]),
-                        pa.array([r[2] for r in rows], pa.int64()),
-                        pa.array([r[3] for r in rows], pa.int64()),
-                        pa.array([r[2] / r[3] for r in rows], pa.float64()),
+                        ids.take(pa.array(pair, pa.int64())),
+                        pa.array([index.ids[i] for i in item], item_type),
+                        pa.array(n_shared, pa.int64()),
+                        pa.array(n_item, pa.int64()),
+                        pa.array([x / y for x, y in zip(n_shared, n_item, strict=True)], pa.float64()),
                     ],
                     names=schema.names,
-                ) if rows else pa.RecordBatch.from_pylist([], schema=pa.schema([(n, t) for n, t in zip(schema.names, [ids.type, pa.int64(), pa.int64(), pa.int64(), pa.float64()], strict=True)]))
+                )
 
         found = narrow.mapInArrow(look, schema)
         out = found if out is None else out.unionByName(found)
@@ -209,8 +211,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, text_col="text", item_i
 
 ORACLE = r"""with d as (select doc_id id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from documents),
  b as (select item_id id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws from benchmark),
- bs as (select distinct id, array_to_string(ws[i : i + 4], ' ') s from b, unnest(range(1, greatest(2, len(ws) - 3))) u(i) where len(ws) >= 5),
- ds as (select distinct id, array_to_string(ws[i : i + 4], ' ') s from d, unnest(range(1, greatest(2, len(ws) - 3))) u(i) where len(ws) >= 5),
+ c as (select id, ws, least(5, len(ws)) l from b where len(ws) > 0), ls as (select distinct l from c),
+ bs as (select distinct id, l, array_to_string(ws[i : i + l - 1], ' ') s from c, unnest(range(1, len(ws) - l + 2)) u(i)),
+ ds as (select distinct id, l, array_to_string(ws[i : i + l - 1], ' ') s from d, ls, unnest(range(1, greatest(1, len(ws) - l + 2))) u(i)),
  n as (select id, count(*) n_item from bs group by 1)
  select ds.id doc_id, bs.id item_id, count(*)::bigint n_shared, any_value(n_item)::bigint n_item, count(*) / any_value(n_item)::double containment
- from ds join bs using (s) join n on n.id = bs.id group by 1, 2 having 100 * count(*) >= 80 * any_value(n_item)"""
+ from ds join bs using (l, s) join n on n.id = bs.id group by 1, 2 having 100 * count(*) >= 80 * any_value(n_item)"""

@@ -10,11 +10,12 @@ still begin within the budget.  Without a budget, the smallest one is taken that
 every document at least once, so nothing is dropped and small sources repeat.
 
 Permutations are orders of a hash, cut into buckets: only sums of buckets run through a
-window over a source, so one source may hold any part of all rows.
+window over a source, so one source may hold any part of all rows.  A bucket that holds far more rows than
+buckets do, as one id repeats, is cut again by a hash of the rows.
 
-A null source is a source of its own.  Null and empty texts have no tokens; they are kept
+A null source is a source of its own.  A row without an id is ordered by a hash of the row.  Null and empty texts have no tokens; they are kept
 in every block that reaches their place.  Texts of any length only count by their tokens.  Repeated rows are documents of their own, with
-ties of the order broken by their place among equals.  An empty table gives no rows.
+ties of the order broken by their place among equals; rows equal in id, source and text share a bucket.  An empty table gives no rows.
 Input columns named like an added one are replaced.
 """
 
@@ -30,6 +31,8 @@ from packloom.llm.shared import cut
 ADDED = ["weight", "epoch", "block_order", "n_tokens"]
 #: The exponent is a multiple of 2**-20, so its decisions don't hang on the last digit.
 GRID = 1 << 20
+#: A bucket of so many times the rows of a bucket is cut; a list of so many such buckets at most is sent to all tasks.
+LARGE, BROADCAST_BUCKETS = 2, 100_000
 
 
 def n_tokens(text: Column) -> Column:
@@ -88,19 +91,23 @@ def mix(
     seed: int = 0,
     rows_per_bucket: int = 20_000,
     tokens_col: str | None = None,
+    tie: Column | None = None,
 ) -> DataFrame:
     """``docs`` as often as the mixture takes them, with ``weight`` of the source, ``epoch`` (block, from 0),
     ``block_order`` (sorts a source's block into its permutation) and ``n_tokens``.
 
     ``tokens_col`` takes counts that are there already, so that the text needn't be moved.
+    ``tie`` tells rows of one id or of none apart; without it a hash of id, source and text does.
     """
     names = [c for c in docs.columns if c not in ADDED and c != tokens_col]
     tokens = n_tokens(F.col(text_col)) if tokens_col is None else F.col(tokens_col)
-    counted = docs.select(*names, tokens.alias("n_tokens"))
+    tie = F.xxhash64(*[c for c in (id_col, source_col, text_col) if c in names]) if tie is None else tie
+    counted = docs.select(*[c for c in names if c != "_tie"], tokens.alias("n_tokens"), tie.cast("bigint").alias("_tie"))
+    named = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null "), F.col("_tie").cast("string")))
     totals = cut(counted.groupBy(F.col(source_col).alias("_source")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")))
     sized = totals.filter("tokens > 0")
     if sized.isEmpty():
-        return counted.select(*names, F.lit(0.0).alias("weight"), F.lit(0).alias("epoch"), F.lit("").alias("block_order"), "n_tokens")
+        return counted.select(*[c for c in names if c != "_tie"], F.lit(0.0).alias("weight"), F.lit(0).alias("epoch"), F.lit("").alias("block_order"), "n_tokens")
     exponent = find_exponent(sized, max_repeats, entropy)
     facts = sized.agg(F.max("tokens").alias("top"), F.sum("rows").alias("rows")).first()
     raw = F.pow(F.col("tokens") / F.lit(facts["top"]), F.lit(exponent))
@@ -117,22 +124,31 @@ def mix(
 
     buckets = max(16, int(facts["rows"]) // rows_per_bucket)
     # The order of each source's last block decides; the blocks before it hold every document.
-    keyed = counted.withColumn("_key", permuted(seed, F.lit("last"), F.col(id_col)))
+    keyed = counted.withColumn("_key", permuted(seed, F.lit("last"), named))
     keyed = keyed.withColumn("_bucket", F.pmod(F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int"))
-    sums = keyed.groupBy(F.col(source_col).alias("_source"), "_bucket").agg(F.sum("n_tokens").alias("held"))
-    run = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sums.withColumn("_before", F.coalesce(F.sum("held").over(run), F.lit(0)))
-    known = cut(before.join(plan.withColumnRenamed("_source", "_s").hint("shuffle_merge"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s", "held"))
-    known = known.withColumnRenamed("_bucket", "_b")
-    match = keyed[source_col].eqNullSafe(known["_source"]) & (keyed["_bucket"] == known["_b"])
+    keyed, place = keyed.withColumn("_cut", F.lit(-1)), ["_bucket", "_cut"]
+    sums = cut(keyed.groupBy(F.col(source_col).alias("_source"), *place).agg(F.sum("n_tokens").alias("held"), F.count("*").alias("n")))
+    large = sums.filter(F.col("n") > LARGE * rows_per_bucket).select(F.col("_source").alias("_s"), F.col("_bucket").alias("_b"), F.ceil(F.col("n") / rows_per_bucket).cast("int").alias("_cuts"))
+    if not large.isEmpty():
+        # There are at most rows / (LARGE * rows_per_bucket) of them.
+        how = "broadcast" if facts["rows"] <= BROADCAST_BUCKETS * LARGE * rows_per_bucket else "shuffle_merge"
+        keyed = keyed.join(large.hint(how), keyed[source_col].eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")), "left")
+        keyed = keyed.withColumn("_cut", F.coalesce(F.pmod(F.xxhash64("_tie"), F.col("_cuts")).cast("int"), F.lit(-1))).drop("_s", "_b", "_cuts")
+        sums = keyed.groupBy(F.col(source_col).alias("_source"), *place).agg(F.sum("n_tokens").alias("held"))
+    run = Window.partitionBy("_source").orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.withColumn("_before", F.coalesce(F.sum("held").over(run), F.lit(0))).select("_source", *place, "_before")
+    known = cut(before.join(plan.withColumnRenamed("_source", "_s").hint("shuffle_merge"), F.col("_source").eqNullSafe(F.col("_s"))).drop("_s"))
+    known = known.withColumnsRenamed({"_bucket": "_b", "_cut": "_c"})
+    match = keyed[source_col].eqNullSafe(known["_source"]) & (keyed["_bucket"] == known["_b"]) & (keyed["_cut"] == known["_c"])
     rows = keyed.join(known.hint("shuffle_merge"), match)
-    within = Window.partitionBy("_source", "_bucket").orderBy("_key", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", *place).orderBy("_key", "n_tokens", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("_at", F.col("_before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     times = F.col("whole") + F.when((F.col("rest") > 0) & (F.col("_at") < F.col("rest")), 1).otherwise(0)
     taken = placed.withColumn("_times", times.cast("int")).filter("_times > 0")
     blocks = taken.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1)))
-    order = F.when(F.col("epoch") < F.col("whole"), permuted(seed, F.col("epoch"), F.col(id_col))).otherwise(F.concat(F.lpad(F.col("_bucket").cast("string"), 10, "0"), "_key"))
-    return blocks.select(*names, "weight", "epoch", order.alias("block_order"), "n_tokens")
+    cuts = F.when(F.col("_cut") >= 0, F.lpad(F.col("_cut").cast("string"), 10, "0")).otherwise("")
+    order = F.when(F.col("epoch") < F.col("whole"), permuted(seed, F.col("epoch"), named)).otherwise(F.concat(F.lpad(F.col("_bucket").cast("string"), 10, "0"), cuts, "_key"))
+    return blocks.select(*[c for c in names if c != "_tie"], "weight", "epoch", order.alias("block_order"), "n_tokens")
 
 
 ORACLE = r"""with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint n from documents),

@@ -81,8 +81,8 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No source more than twice, every document at least once."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("tokens"))
-    return mixing.mix(docs, max_repeats=2.0, tokens_col="tokens")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_tokens(F.col("text")).alias("tokens"), F.xxhash64("text").alias("_tie"))
+    return mixing.mix(docs, max_repeats=2.0, tokens_col="tokens", tie=F.col("_tie"))
 
 
 SQL["op5_temperature_mix"] = mixing.ORACLE
