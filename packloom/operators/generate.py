@@ -25,11 +25,16 @@ def pick_presets(presets: DataFrame, names: list[str] | DataFrame) -> DataFrame:
     return presets.join(wanted.hint("shuffle_merge"), "name", "left_semi")
 
 
-def existing_names(files: DataFrame) -> DataFrame:
-    """The names that a target's files (pack, rel) have taken: pack, entity_type, names; for ``expand``."""
+def file_names(files: DataFrame) -> DataFrame:
+    """The names that a target's files (pack, rel) have taken: pack, entity_type, name; for ``named_rows``."""
     folder, name = F.substring_index("rel", "/", 1), F.regexp_extract("rel", r"^[^/]*/([^/]*)\.yaml$", 1)
-    named = files.filter(folder.isin(RESOURCES) & F.col("rel").rlike(r"^[^/]*/[^/]*\.yaml$")).select("pack", folder.alias("entity_type"), name.alias("name"))
-    return named.groupBy("pack", "entity_type").agg(F.collect_set("name").alias("names"))
+    named = files.filter(folder.isin(RESOURCES) & F.col("rel").rlike(r"^[^/]*/[^/]*\.yaml$"))
+    return named.select("pack", folder.alias("entity_type"), name.alias("name")).distinct()
+
+
+def existing_names(files: DataFrame) -> DataFrame:
+    """The same with a type's names in an array: pack, entity_type, names; for ``expand``."""
+    return file_names(files).groupBy("pack", "entity_type").agg(F.collect_list("name").alias("names"))
 
 
 #: SQL over an entity's JSON: whether it has an id, and the name that its id gives.
@@ -148,6 +153,24 @@ def named_rows(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     return named.select("pack", "entity_type", "pos", "id", F.concat("entity_type", F.lit("/"), "id", F.lit(".yaml")).alias("rel"), "body")
 
 
+#: Lists of so many entities at most are folded as arrays; longer ones, as rows.
+LONG_LIST = 5_000
+
+
+def expand_over(presets: DataFrame, files: DataFrame) -> DataFrame:
+    """``expand`` over a target that has these files (pack, rel) already.
+
+    A list is folded in its preset's row where all lists are short (counted), and as rows dealt over the cluster else; the result is the same.
+    """
+    names = stored(file_names(files))
+    longest = presets.agg(F.max(F.greatest(*[F.coalesce(F.size(r), F.lit(0)) for r in RESOURCES]))).first()[0] or 0
+    held = names.groupBy("pack", "entity_type").count().agg(F.max("count")).first()[0] or 0
+    if max(longest, held) <= LONG_LIST:
+        return expand(presets, names.groupBy("pack", "entity_type").agg(F.collect_list("name").alias("names")))
+    none = presets.select("name", "meta", *[F.lit(None).cast("array<string>").alias(r) for r in RESOURCES], "story_setup")
+    return expand(none).unionByName(named_rows(entity_rows(presets), names))
+
+
 def limit_entities(entities: DataFrame, limits: dict[str, int] | None = None, categories: list[str] | None = None) -> DataFrame:
     """At most so many entities of a type per pack, first ones first; lore of these categories only."""
     for kind, most in (limits or {}).items():

@@ -53,6 +53,6 @@ def generate(spark: SparkSession, names: list[str], out: str, presets: DataFrame
     picked = G.pick_presets(builtin_presets(spark) if presets is None else presets, names)
     out = out.rstrip("/")
     there = list_files(spark, [f"{out}/{n}" for n in names]).selectExpr(f"substring(pack, {len(out) + 2}) as pack", "rel")
-    entities = stored(G.last_write_wins(G.expand(picked, stored(G.existing_names(there)))))
+    entities = stored(G.last_write_wins(G.expand_over(picked, there)))
     write_packs(entities, out)
     return entities

@@ -222,7 +222,7 @@ def _split(columns: str) -> list[str]:
 
 
 def presets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ship-mode and region presets from the tables, as preset rows with up to a customer's and a part's entities.
+    """Customers and their orders as preset rows.
 
     Every customer is a preset of its own: one meta, and its orders as scene objects, the
     third of them without an id.

@@ -36,6 +36,15 @@ def test_named_rows_equal_the_fold_over_arrays(spark, seed):
     assert G.named_rows(G.entity_rows(presets.limit(0))).count() == 0
 
 
+def test_long_lists_are_rows(spark, tmp_path, monkeypatch):
+    presets = preset_rows(spark, random_lists(5))
+    files = spark.createDataFrame([("p1", "items/items_3.yaml"), ("p1", "items/x.yaml"), ("p2", "lore/lore_0.yaml"), ("p3", "meta.yaml")], "pack string, rel string")
+    told = lambda: sorted(tuple(map(str, r)) for r in G.expand_over(presets, files).collect())
+    short = told()
+    monkeypatch.setattr(G, "LONG_LIST", 1)
+    assert told() == short and len(short) > 200
+
+
 def test_one_large_list_is_many_tasks(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are too small else
     rows = spark.range(4000).select(F.lit("p").alias("pack"), F.lit("items").alias("entity_type"), F.col("id").cast("int").alias("pos"), F.when(F.col("id") % 2 == 0, '{"name":"n"}').otherwise(F.concat(F.lit('{"id":"e'), "id", F.lit('"}'))).alias("body"))
