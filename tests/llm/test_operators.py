@@ -382,3 +382,18 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in out} <= set(range(10)) and len(P.STAGES) == 5
     ids = [{r.doc_id for r in spark.read.parquet(str(tmp_path / f"work/{i}")).collect()} for i in range(5)]
     assert 52 not in ids[0] and 50 not in ids[1] and 51 not in ids[2] and ids[3] == ids[2] == ids[4]
+    rows_at = lambda i: spark.read.parquet(str(tmp_path / f"work/{i}")).collect()
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    plain = lambda rs: Counter(tuple(r[n] for n in names) for r in rs)
+    mixed, kept = plain(rows_at(3)), plain(rows_at(2))
+    # The smaller source repeats its documents until both weigh what their exponent says, no document more than twice.
+    assert set(mixed) == set(kept) and max(mixed.values()) <= 2 and max(kept.values()) == 1
+    tokens = Counter()
+    for k in kept:
+        tokens[k[3]] += len(words(k[1]))
+    large = max(tokens, key=lambda x: (tokens[x], x))
+    assert all(n == 1 for k, n in mixed.items() if k[3] == large)
+    placed = rows_at(4)
+    assert plain(placed) == mixed and max(Counter(r.shard for r in placed).values()) - (len(placed) // 16) <= 1
+    for s in range(16):
+        assert sorted(r.slot for r in placed if r.shard == s) == list(range(sum(r.shard == s for r in placed)))
