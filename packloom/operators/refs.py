@@ -65,12 +65,11 @@ def unmatched(refs: DataFrame, targets: DataFrame, on: list[str]) -> DataFrame:
 def orphans(docs: DataFrame, fields: tuple[str, ...] = REF_KEYS) -> DataFrame:
     """References to ids that no document of the pack has, with their message: pack, path, rel, pos, field, value, message."""
     docs = keyed(docs)
-    refs = scene_refs(docs).filter(F.col("field").isin(*fields) & F.col("id_key").isNotNull())
+    # A value without a key (a list) matches no id, and neither does this mark: keys of ids begin with their kind.
+    refs = scene_refs(docs).filter(F.col("field").isin(*fields)).withColumn("id_key", F.coalesce("id_key", F.lit("-")))
     ids = docs.select("pack", "id_key").filter("id_key is not null")
-    nameless = scene_refs(docs).filter(F.col("field").isin(*fields) & F.col("id_key").isNull())
     message = F.concat(F.lit("[cross-ref] "), F.col("path"), F.lit(": "), F.col("field"), F.lit(" '"), F.coalesce("value", F.lit("")), F.lit("' not found"))
-    out = unmatched(refs, ids, ["pack", "id_key"]).unionByName(nameless)
-    return out.select("pack", "path", "rel", "pos", "field", "value", message.alias("message"))
+    return unmatched(refs, ids, ["pack", "id_key"]).select("pack", "path", "rel", "pos", "field", "value", message.alias("message"))
 
 
 def strict_orphans(refs: DataFrame, entities: DataFrame) -> DataFrame:
