@@ -9,7 +9,8 @@ two classes reads the average.  A text has the probability of its most toxic pas
 in a very long text weighs as much as in a short one.
 
 Table and softmax are trained together by Adam in numpy, first on soft maxima over the
-passages of a text, later on the maximum.  As the softmax is linear, an n-gram counts in a
+passages of a text, later on the maximum.  In each round a share of a text's words, drawn anew for
+the text, is misspelt; frequent words have more misspelt forms, as they cost no more.  As the softmax is linear, an n-gram counts in a
 text only by the product of its vector with the difference of the class weights, so
 scoring carries one number for each bucket.  Those are whole numbers, and sums of them don't
 depend on how rows were batched.
@@ -37,8 +38,10 @@ from pyspark.sql import functions as F
 from packloom.llm.textvec import LOWER, U, mix, raw, slices, spans_hash, words
 
 GRAMS, BUCKETS, DIM, WINDOW = range(3, 7), 1 << 17, 8, 3
-#: Share of the words of a round of training that are misspelt, in how many ways each, and what replaces characters.
-MISSPELT, WAYS, SIGNS = 0.5, 3, "abcdefghijklmnopqrstuvwxyz0134@$*"
+#: In how many ways a word is misspelt in training, one that occurs ``COMMON`` times or more in how many, and what replaces characters.
+WAYS, COMMON, COMMON_WAYS, SIGNS = 2, 20, 32, "abcdefghijklmnopqrstuvwxyz0134@$*"
+#: Signs that stand for a letter because they look like it.
+ALIKE = {"a": "@", "b": "8", "e": "3", "g": "9", "i": "1", "l": "1", "o": "0", "s": "$", "t": "7"}
 #: Log-odds of a passage of words that say nothing, before the even point moves them; the softmax's own biases stay at half of it.
 NEUTRAL, DECAY = -4.0, 1e-6
 #: Words whose parts are looked at at once in training.
@@ -68,11 +71,12 @@ def spelled(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[str]:
 
 
 def misspelt(told: list[str], rng: np.random.Generator) -> list[str]:
-    """Each word with one character dropped, doubled, replaced or changed places with the next."""
+    """Each word with one character dropped, doubled, replaced (by any sign or one that looks like it) or changed places with the next."""
     out = []
-    for x, how, at, sign in zip(told, rng.integers(4, size=len(told)), rng.random(len(told)), rng.integers(len(SIGNS), size=len(told)), strict=True):
+    for x, how, at, sign in zip(told, rng.integers(5, size=len(told)), rng.random(len(told)), rng.integers(len(SIGNS), size=len(told)), strict=True):
         i = int(at * len(x))
-        out.append(x[:i] + ("" if how == 0 else x[i] * 2 if how == 1 else SIGNS[sign] if how == 2 else x[i + 1 : i + 2] + x[i]) + x[i + 1 + (how == 3) :])
+        new = ("", x[i] * 2, SIGNS[sign], ALIKE.get(x[i], "*"), x[i + 1 : i + 2] + x[i])[how]
+        out.append(x[:i] + new + x[i + 1 + (how == 4) :])
     return out
 
 
@@ -159,12 +163,15 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 100, seed: int = 7) ->
     key, text, start, end = key[learns], text[learns], start[learns], end[learns]
     _, first, token = np.unique(key, return_index=True, return_inverse=True)
     rng, told = np.random.default_rng(seed), spelled(data, start[first], end[first])
-    told += [x for _ in range(WAYS) for x in misspelt(told[: len(first)], rng)]
+    ways = np.where(np.bincount(token) >= COMMON, COMMON_WAYS, WAYS)
+    base = len(first) + np.cumsum(ways) - ways
+    told += misspelt([told[i] for i in np.repeat(np.arange(len(first)), ways)], rng)
     blocks = [(k, len(told[k : k + BLOCK]), *grams_of(told[k : k + BLOCK])) for k in range(0, len(told), BLOCK)]
     parts = np.concatenate([np.bincount(owner, minlength=n) for _, n, _, owner in blocks])
     a, b, of = passages(token, text)
     docs, begin = np.unique(of, return_index=True)
     place = np.repeat(np.arange(len(docs)), np.diff([*begin, len(of)]))
+    own = np.searchsorted(docs, text)
     share = np.where(y[docs] == 1, 0.5 / max(1, (y[docs] == 1).sum()), 0.5 / max(1, (y[docs] == 0).sum()))
     table, soft = rng.normal(0, 0.01, (BUCKETS, DIM)), rng.normal(0, 0.5, (2, DIM))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (table, soft)]
@@ -172,8 +179,8 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 100, seed: int = 7) ->
         v = soft[1] - soft[0]
         value = table @ v
         word = np.concatenate([np.bincount(owner, value[bucket], n) for _, n, bucket, owner in blocks]) / parts
-        way = 1 + (rng.random(len(token)) * WAYS / MISSPELT).astype(np.int64)
-        seen = token + len(first) * np.where(way > WAYS, 0, way)
+        wrong = rng.random(len(token)) < rng.random(len(docs))[own]
+        seen = np.where(wrong, base[token] + (rng.random(len(token)) * ways[token]).astype(np.int64), token)
         run = np.concatenate([[0], np.cumsum(word[seen])])
         z = (run[b] - run[a]) / (b - a)
         top = np.maximum.reduceat(z, begin)
