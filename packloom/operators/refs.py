@@ -72,16 +72,24 @@ def orphans(docs: DataFrame, fields: tuple[str, ...] = REF_KEYS) -> DataFrame:
     return unmatched(refs, ids, ["pack", "id_key"]).select("pack", "path", "rel", "pos", "field", "value", message.alias("message"))
 
 
-def strict_orphans(refs: DataFrame, entities: DataFrame) -> DataFrame:
-    """Optional rules: ``refs`` (pack, rule, target_type, id) whose id isn't one of the target type.
+def strict_tallies(refs: DataFrame, entities: DataFrame) -> DataFrame:
+    """Optional rules: the distinct ``refs`` (pack, rule, target_type, id) whose id isn't one of the target type, with ``n``, how often each occurs.
 
     ``target_type`` null accepts an entity of any type.  ``entities``: pack, entity_type, id.
+    References are read once: equal ones are counted as one before they meet any id, and of the entities
+    only types that are a target of some reference are looked at.
     """
-    refs = refs.filter("coalesce(id, '') <> ''")
-    typed = unmatched(refs.filter("target_type is not null"), entities.withColumnRenamed("entity_type", "target_type"), ["pack", "target_type", "id"])
-    untyped = unmatched(refs.filter("target_type is null"), entities, ["pack", "id"])
     columns = ["pack", "rule", "target_type", "id"]
-    return typed.select(columns).unionByName(untyped.select(columns))
+    told = stored(refs.filter("coalesce(id, '') <> ''").groupBy(*columns).agg(F.count("*").alias("n")))
+    kinds = [r[0] for r in told.select("target_type").filter("target_type is not null").distinct().collect()]  # types, a few
+    out = unmatched(told.filter("target_type is not null"), entities.filter(F.col("entity_type").isin(kinds)).withColumnRenamed("entity_type", "target_type"), ["pack", "target_type", "id"])
+    untyped = unmatched(told.filter("target_type is null"), entities, ["pack", "id"])
+    return out.select(*columns, "n").unionByName(untyped.select(*columns, "n"))
+
+
+def strict_orphans(refs: DataFrame, entities: DataFrame) -> DataFrame:
+    """The same as rows, each as often as it occurs."""
+    return strict_tallies(refs, entities).withColumn("n", F.explode(F.sequence(F.lit(1), "n"))).drop("n")
 
 
 def _declared() -> dict[str, list[tuple[str, str | None, str]]]:

@@ -1,6 +1,7 @@
 """State that is kept between runs equals a full run; rules from tables; names and numbers of rows however they are dealt."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -138,3 +139,17 @@ def test_frequencies_add_up_to_a_full_fit(spark, tmp_path):
     full = {r.id: r.vector for r in L.vectorise(texts.filter("pack <> 'q'"), size=256).collect()}
     got = {r.id: r.vector for r in kept.vectorise(texts.filter("pack <> 'q'")).collect()}
     assert all(abs(got[k].toArray() - full[k].toArray()).max() < 1e-12 for k in full)
+
+
+def test_strict_references_are_read_once(spark, tmp_path, monkeypatch):
+    rows = [("p", "r", "items", f"i{i % 4}") for i in range(40)] + [("p", "s", None, "x")] * 3 + [("p", "s", None, "i1")]
+    spark.createDataFrame(rows, "pack string, rule string, target_type string, id string").write.parquet(str(tmp_path / "refs"))
+    ids = spark.createDataFrame([("p", "items", "i1"), ("p", "scenes", "i2"), ("q", "items", "i3")], "pack string, entity_type string, id string")
+    for most in (1, 1000):
+        monkeypatch.setattr(refs, "BROADCAST_KEYS", most)
+        links = spark.read.parquet(str(tmp_path / "refs"))
+        told, each = refs.strict_tallies(links, ids), refs.strict_orphans(links, ids)
+        if most == 1000:
+            shutil.rmtree(tmp_path / "refs")
+        assert sorted((r.rule, r.id, r.n) for r in told.collect()) == [("r", "i0", 10), ("r", "i2", 10), ("r", "i3", 10), ("s", "x", 3)]
+        assert each.count() == 33
