@@ -13,18 +13,21 @@ def dealt(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return stored(rows.repartitionByRange(*group, *order).withColumn("_part", F.spark_partition_id()))
 
 
-def running_sum(rows: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+def running_sum(rows: DataFrame, group: list[str], order: list[str], value: Column, name: str, start: DataFrame | None = None) -> DataFrame:
     """``dealt`` rows with ``name``: the sum of ``value`` over the rows before, in the group by ``order``; nulls come first and rows of equal order in any.
 
-    Each range is summed up on its own, the ranges' sums are added up (a row a range and group), and both meet.
+    ``start`` (group, start): what a group's sum begins with.  The ranges' sums are added up (a row a range and
+    group), and each range is summed up on its own after such a row, so rows are dealt out once more and by range, however many a group has.
     """
     own = [*group, "_part"]
-    sums = rows.groupBy(*own).agg(F.sum(value).alias("_sum"))
+    valued = rows.withColumn("_value", value)
     before = F.sum("_sum").over(Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select(*[F.col(c).alias(f"_{c}_") for c in own], F.coalesce(before, F.lit(0)).alias("_start"))
-    within = F.sum(value).over(Window.partitionBy(*own).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    met = rows.withColumn("_within", F.coalesce(within, F.lit(0))).join(starts.hint("shuffle_merge"), [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in own])
-    return met.withColumn(name, (F.col("_start") + F.col("_within")).cast("bigint")).drop("_start", "_within", *[f"_{c}_" for c in own])
+    starts = valued.groupBy(*own).agg(F.sum("_value").alias("_sum")).select(*own, F.coalesce(before, F.lit(0)).alias("_value"))
+    if start is not None:
+        starts = starts.join(start.hint("shuffle_merge"), group, "left").select(*own, (F.col("_value") + F.coalesce("start", F.lit(0))).alias("_value"))
+    both = valued.withColumn("_later", F.lit(1)).unionByName(starts.withColumn("_later", F.lit(0)), allowMissingColumns=True)
+    within = F.sum("_value").over(Window.partitionBy(*own).orderBy("_later", *order).rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn(name, within.cast("bigint")).filter("_later = 1").drop("_value", "_later")
 
 
 def numbered(rows: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:

@@ -107,6 +107,12 @@ def entity_rows(presets: DataFrame) -> DataFrame:
     return each.select("pack", "l.entity_type", F.posexplode("l.bodies").alias("pos", "body"))
 
 
+def spread_join(rows: DataFrame, other: DataFrame, key: list[str], name: str, order: list[str]) -> DataFrame:
+    """Left join on ``key`` and ``name``; rows whose name is null meet none and are dealt out by their order, as one key may have very many."""
+    salted = rows.withColumn("_salt", F.when(F.col(name).isNull(), F.xxhash64(*order)).otherwise(F.lit(0)))
+    return salted.join(other.withColumn("_salt", F.lit(0).cast("bigint")).hint("shuffle_merge"), [*key, name, "_salt"], "left").drop("_salt")
+
+
 def named_rows(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """``expand`` for entities that come as rows (pack, entity_type, pos, body): adds id and rel.
 
@@ -123,7 +129,7 @@ def named_rows(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     base = dealt(rows.select(*key, "pos", "body").withColumn("given", F.when(has, name)), key, order)
     there = rows.sparkSession.createDataFrame([], "pack string, entity_type string, name string") if existing is None else existing
     there = stored(there.select(*key, F.col("name").alias("given")).distinct())
-    held = there.groupBy(*key).agg(F.count("*").alias("held"))
+    held = there.groupBy(*key).agg(F.count("*").alias("start"))
     # The place of an entity in its list, told by pos and body, as pos alone may repeat.
     place = F.struct("pos", F.xxhash64("body").alias("h"))
     firsts = base.filter("given is not null").groupBy(*key, "given").agg(F.min(place).alias("first"))
@@ -133,16 +139,16 @@ def named_rows(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     taken = there.select(*key, number.alias("k"), F.lit(None).cast("struct<pos:int,h:bigint>").alias("since")).unionByName(firsts.filter("old is null").select(*key, number.alias("k"), F.col("first").cast("struct<pos:int,h:bigint>").alias("since")))
     taken = stored(taken.filter("k is not null").groupBy(*key, "k").agg(F.max(F.col("since").isNull()).alias("always"), F.min("since").alias("since")))
     alone = taken.isEmpty()
-    state = base.withColumn("place", place.cast("struct<pos:int,h:bigint>")).join(firsts.select(*key, "given", F.col("first").cast("struct<pos:int,h:bigint>").alias("first"), F.coalesce("old", F.lit(False)).alias("old")).hint("shuffle_merge"), [*key, "given"], "left")
+    state = spread_join(base.withColumn("place", place.cast("struct<pos:int,h:bigint>")), firsts.select(*key, "given", F.col("first").cast("struct<pos:int,h:bigint>").alias("first"), F.coalesce("old", F.lit(False)).alias("old")), key, "given", order)
     state = stored(state.withColumn("adds", F.col("given").isNull() | (~F.col("old") & (F.col("place") == F.col("first")))))
     while True:
-        summed = running_sum(state, key, order, F.col("adds").cast("long"), "n").join(held.hint("shuffle_merge"), key, "left").withColumn("n", F.col("n") + F.coalesce("held", F.lit(0))).drop("held")
+        summed = running_sum(state, key, order, F.col("adds").cast("long"), "n", held)
         if alone:
             break
         met = summed.join(taken.withColumnRenamed("k", "n").hint("shuffle_merge"), [*key, "n"], "left")
         fresh = met.withColumn("free", F.col("given").isNull() & ~F.coalesce(F.col("always") | (F.col("since") < F.col("place")), F.lit(False))).drop("always", "since")
         defaults = fresh.filter("given is null").groupBy(*key, F.col("n").alias("_k")).agg(F.min("place").alias("_by"))
-        told = fresh.withColumn("_k", number).join(defaults.hint("shuffle_merge"), [*key, "_k"], "left")
+        told = spread_join(fresh.withColumn("_k", number), defaults, key, "_k", order)
         new = F.when(F.col("given").isNull(), F.col("free")).otherwise(~F.col("old") & (F.col("place") == F.col("first")) & ~F.coalesce(F.col("_by") < F.col("place"), F.lit(False)))
         after = stored(told.withColumn("was", F.col("adds")).withColumn("adds", new).drop("free", "_k", "_by"))
         if after.filter("was <> adds").isEmpty():

@@ -153,3 +153,15 @@ def test_strict_references_are_read_once(spark, tmp_path, monkeypatch):
             shutil.rmtree(tmp_path / "refs")
         assert sorted((r.rule, r.id, r.n) for r in told.collect()) == [("r", "i0", 10), ("r", "i2", 10), ("r", "i3", 10), ("s", "x", 3)]
         assert each.count() == 33
+
+
+def test_rows_without_a_name_are_spread_over_tasks(spark):
+    rows = spark.range(4000).select(F.lit("p").alias("pack"), F.lit(None).cast("string").alias("given"), F.col("id").alias("pos"))
+    other = spark.createDataFrame([("p", "x", 1)], "pack string, given string, old int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = G.spread_join(rows, other, ["pack"], "given", ["pos"])
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sum(sizes) == 4000 and max(sizes) < 2000
