@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packloom.functions.running import numbered
 from packloom.keyed import BUCKETS, Keyed
-from packloom.operators.refs import orphans
+from packloom.operators.refs import few, orphans
 from packloom.operators.rules import with_file_errors
 from packloom.storage import stored
 
@@ -99,15 +99,17 @@ class Tallies:
 
     def replace(self, packs: DataFrame, docs: DataFrame) -> None:
         """Put these packs' state (pack) in place of theirs, from their documents; a pack without documents stays as an empty one."""
-        names = packs.select("pack").distinct()
+        names = stored(packs.select("pack").distinct())
+        # Of few packs each may have very many prefixes, so these aren't dealt out by pack.
+        how = "broadcast" if few(names) else "shuffle_merge"
         none, zero = F.lit(None).cast("string").alias("prefix"), F.lit(0).cast("bigint")
         counts = names.join(file_tally(docs).hint("shuffle_merge"), "pack", "left").select("pack", none, F.coalesce("ok_files", zero).alias("ok"), F.coalesce("bad_files", zero).alias("bad"))
         cross = prefixes(orphans(docs)).select("pack", "prefix", zero.alias("ok"), zero.alias("bad"))
-        new, old = stored(counts.unionByName(cross.join(names.hint("shuffle_merge"), "pack", "left_semi"))), self.table.read()
+        new, old = stored(counts.unionByName(cross.join(names.hint(how), "pack", "left_semi"))), self.table.read()
         if old is None:
             self.table.merge(new)
             return
-        theirs = old.join(names.hint("shuffle_merge"), "pack", "left_semi").select("pack", "prefix")
+        theirs = old.join(names.hint(how), "pack", "left_semi").select("pack", "prefix")
         same = [theirs[c].eqNullSafe(F.col(f"_{c}")) for c in ("pack", "prefix")]
         kept = new.select(F.col("pack").alias("_pack"), F.col("prefix").alias("_prefix"))
         self.table.merge(new, theirs.join(kept.hint("shuffle_merge"), same, "left_anti"))

@@ -165,3 +165,14 @@ def test_rows_without_a_name_are_spread_over_tasks(spark):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
+def test_prefixes_of_few_packs_are_not_dealt_out_by_pack(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([("p", "p/items/a.yaml", "items/a.yaml", "items", "ok")], "pack string, path string, rel string, entity_type string, parse_status string")
+    docs = docs.selectExpr("*", "cast(array() as array<struct<pos:int,key:string,kind:string,value:string,truthy:boolean>>) fields", "'s:a' id_key", "array(named_struct('field', 'scene_id', 'value', 'b', 'key', 's:b')) refs")
+    plans, plain = [], summary.stored
+    monkeypatch.setattr(summary, "stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df))
+    state = summary.Tallies(spark, str(tmp_path / "state"), buckets=2)
+    state.replace(docs.select("pack"), docs)
+    assert not any("SortMergeJoin [pack" in line and "LeftSemi" in line for plan in plans for line in plan.split("\n"))
+    assert [tuple(r) for r in state.summary().collect()] == [("p", 0, 2, False)]
